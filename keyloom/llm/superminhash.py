@@ -6,7 +6,7 @@ together, and a text stops as soon as every slot is filled: later levels can't l
 
 Texts with equal shingle sets are one *class* and are collapsed first, so a group of thousands of
 exact copies is one node. A bucket (equal band) of up to ``SMALL_BUCKET`` classes tests all its pairs,
-a bound that doesn't grow. A larger one tests its members against a few leaders, keeps only
+a bound that doesn't grow. A larger one tests its members against its most central one, keeps only
 what the found links have not joined, and goes on with more leaders each round until every pair that
 is not yet in one component has been tested. So no bucket is capped and no pair is dropped, while a
 group whose members are linked takes tests in proportion to its size.
@@ -24,7 +24,14 @@ from .common import discard, list_array, map_arrow, materialize, text_parts
 from .components import components
 
 U = np.uint64
-BANDS, ROWS = 24, 5
+#: 32 bands of 8 rows miss a pair of similarity 0.85 with probability 4e-5; 6 rows do so at 0.8.
+BANDS = 32
+
+
+def rows_for(percent: int) -> int:
+    return 8 if percent >= 85 else 6
+
+
 SMALL_BUCKET = 6
 BITMAP = 1 << 22
 _LATE = 8  # levels for which a shingle's swaps are kept as a list
@@ -127,7 +134,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Links texts whose sets of k-word shingles have ``100 * intersection >= percent * union``, each
@@ -137,6 +144,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    rows = rows or rows_for(percent)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     head = "doc_id long, n_shingles long, k1 long, k2 long"
     made = materialize(map_arrow(base, set_rows(k, bands, rows), head + ", bands array<long>"), "sets")
@@ -147,7 +155,9 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
     banded = made.where(usable).select(key, F.col("doc_id").alias("rep"), "bands").join(classes.select("cls", "rep"), ["cls", "rep"], "left_semi")
     flat = banded.select("cls", F.explode("bands").alias("bucket")).distinct()
     many = flat.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1")
-    members = materialize(flat.join(many, "bucket"), "buckets")
+    # central: how many classes share its buckets, all told; an unedited original leads those made from it
+    central = F.sum("g").over(Window.partitionBy("cls")).alias("c")
+    members = materialize(flat.join(many, "bucket").select("bucket", "cls", "g", central), "buckets")
 
     needed = members.select("cls").distinct().join(classes, "cls")
     bitmap = _bitmap(needed.select("rep"))
@@ -170,7 +180,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
     in_bucket = small.groupBy("bucket").agg(F.sort_array(F.collect_list("cls")).alias("of"))  # at most SMALL_BUCKET
     two = in_bucket.select(F.explode("of").alias("a"), "of").select("a", F.explode("of").alias("b")).where("a < b")
     # larger buckets: against the leaders of the lowest hash, more of them each round
-    big = members.where(F.col("g") > SMALL_BUCKET).select("bucket", "cls")
+    big = members.where(F.col("g") > SMALL_BUCKET).select("bucket", "cls", "c")
     links = None
     group = None
     rest, leaders, spent = big, 1, []
@@ -178,10 +188,10 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
     while True:
         order = F.xxhash64("bucket", "cls")
         if leaders == 1:
-            chosen = rest.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("cls"))).alias("x")).select("bucket", F.col("x.cls").alias("leader"))
+            chosen = rest.groupBy("bucket").agg(F.min(F.struct(-F.col("c"), order.alias("o"), F.col("cls"))).alias("x")).select("bucket", F.col("x.cls").alias("leader"))
         else:
-            top = F.row_number().over(Window.partitionBy("bucket").orderBy("o", "cls"))
-            chosen = rest.select("bucket", "cls", order.alias("o")).withColumn("rn", top).where(F.col("rn") <= leaders).select("bucket", F.col("cls").alias("leader"))
+            top = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("c"), "o", "cls"))
+            chosen = rest.select("bucket", "cls", "c", order.alias("o")).withColumn("rn", top).where(F.col("rn") <= leaders).select("bucket", F.col("cls").alias("leader"))
         star = rest.join(chosen, "bucket").where("cls != leader")
         if group is not None:
             star = star.join(group.toDF("cls", "gc"), "cls", "left").join(group.toDF("leader", "gl"), "leader", "left")
@@ -196,7 +206,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
         # a bucket all of whose members are in one component has nothing left to find; nor has a single member.
         lead = chosen.join(group.toDF("leader", "of"), "leader", "left").select("bucket", F.coalesce("of", "leader").alias("of"))
         mixed = labelled.select("bucket", "of").unionByName(lead).groupBy("bucket").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
-        left = materialize(labelled.join(mixed, "bucket", "left_semi").select("bucket", "cls"), "rest")
+        left = materialize(labelled.join(mixed, "bucket", "left_semi").select("bucket", "cls", "c"), "rest")
         if leaders > 1:
             discard(spark, rest)
         rest, leaders = left, leaders * 8
