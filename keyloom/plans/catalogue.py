@@ -1,4 +1,381 @@
-"""Registered queries of the engine."""
+"""Registered queries of the engine, with SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.columns import Column, MultiColumn, or_
+from ..functions.encoders import FLOAT32
+from ..operators import cursor, sets, write
+from ..operators.index import IndexReader, check, differences, entries, sorted_entries, violations
+from ..operators.query import Query
+from ..sources.model import Bound, ColumnIndex, Keyspace, SetKeyspace
+
+# ---- declarations over the driver's tables
+
+status, priority = Column("o_orderstatus"), Column("o_orderpriority")
+custkey, orderkey, total = Column("o_custkey"), Column("o_orderkey"), Column("o_totalprice")
+brand, size, partkey, price = Column("p_brand"), Column("p_size"), Column("p_partkey"), Column("p_retailprice")
+part_name = Column("p_name")
+tokens = MultiColumn("tokens", "split(p_name, ' ')")
+vector = MultiColumn("embedding", encoder=FLOAT32)
+
+ORDERS = Keyspace(
+    "orders",
+    "o_orderkey",
+    (
+        ColumnIndex("by_status", (status, priority), covering=(total,)),
+        ColumnIndex("by_customer", (custkey,)),
+        ColumnIndex("by_priority", (priority,)),
+        ColumnIndex("by_status_only", (status,)),
+        ColumnIndex("by_total", (total,), cover_value=True),
+    ),
+)
+PART = Keyspace("part", "p_partkey", (ColumnIndex("by_token", (tokens, brand)), ColumnIndex("by_name", (part_name,), unique=True), ColumnIndex("large", (size,), where="p_size > 40")))
+CUSTOMER = Keyspace("customer", "c_custkey", (ColumnIndex("by_custname", (Column("c_name"),), unique=True),))
+EVENTS = Keyspace("events", "event_id")
+VECTORS = Keyspace("embeddings", "vec_id")
+CUSTOMER_ORDERS = SetKeyspace("customer_orders", ("o_custkey", "o_orderkey"))
+TURNS = SetKeyspace("turns", ("conv_id", "turn"))
+
+
+def bound(spark: SparkSession, sf_dir: str, space: Keyspace, name: str | None = None) -> Bound:
+    return space.bind(spark.read.parquet(f"{sf_dir}/{name or space.name}.parquet"))
+
+
+def orders(spark: SparkSession, sf_dir: str) -> Bound:
+    return bound(spark, sf_dir, ORDERS)
+
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- scans and cursors
+
+
+@query("select * from orders where o_orderkey >= 100 and o_orderkey < 200")
+def range_scan(spark, d) -> DataFrame:
+    return cursor.key_range(orders(spark, d), 100, 200)
+
+
+@query("select * from orders")
+def full_scan(spark, d) -> DataFrame:
+    return cursor.scan(orders(spark, d))
+
+
+@query("select * from customer where starts_with(c_name, 'Customer#00000001')")
+def prefix_scan(spark, d) -> DataFrame:
+    return Query(bound(spark, d, CUSTOMER)).where(Column("c_name").has_prefix("Customer#00000001")).all()
+
+
+@query("select * from customer where c_custkey = 17")
+def prefix_fixed_width(spark, d) -> DataFrame:
+    return cursor.key_prefix(bound(spark, d, CUSTOMER), 17)
+
+
+@query("select * from orders where o_orderkey = 4242")
+def get_point(spark, d) -> DataFrame:
+    return cursor.seek(orders(spark, d), 4242)
+
+
+@query("select * from orders where o_orderkey <= 777 order by o_orderkey desc limit 1")
+def cursor_floor(spark, d) -> DataFrame:
+    return cursor.seek_le(orders(spark, d), 777)
+
+
+@query("select * from orders where o_orderkey < 777 order by o_orderkey desc limit 1")
+def cursor_below(spark, d) -> DataFrame:
+    return cursor.seek_lt(orders(spark, d), 777)
+
+
+@query("select * from orders where o_orderkey >= 778 order by o_orderkey limit 1")
+def cursor_ceiling(spark, d) -> DataFrame:
+    return cursor.seek_ge(orders(spark, d), 778)
+
+
+@query("select * from orders where o_orderkey > 500 order by o_orderkey limit 25")
+def cursor_page(spark, d) -> DataFrame:
+    return cursor.seek_gt(orders(spark, d), 500, n=25)
+
+
+@query("(select 'first' as which, o_orderkey from orders order by o_orderkey limit 1) union all (select 'last', o_orderkey from orders order by o_orderkey desc limit 1)")
+def cursor_ends(spark, d) -> DataFrame:
+    b = orders(spark, d)
+    return cursor.first(b).select(F.lit("first").alias("which"), "o_orderkey").unionByName(cursor.last(b).select(F.lit("last").alias("which"), "o_orderkey"))
+
+
+@query("select o_orderkey, o_custkey, lead(o_orderkey) over w as next_key, lag(o_orderkey) over w as previous_key from orders window w as (partition by o_custkey order by o_orderkey)")
+def cursor_neighbours(spark, d) -> DataFrame:
+    x = cursor.neighbours(orders(spark, d), "o_custkey")
+    return x.select("o_orderkey", "o_custkey", F.col("next.o_orderkey").alias("next_key"), F.col("previous.o_orderkey").alias("previous_key"))
+
+
+# ---- terms
+
+
+@query("select * from part where p_retailprice >= 905 and p_retailprice < 910")
+def between_half_open(spark, d) -> DataFrame:
+    return Query(bound(spark, d, PART)).where(price.between(905.0, 910.0)).all()
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'P'")
+def eq_keys(spark, d) -> DataFrame:
+    return Query(orders(spark, d)).where(status.eq("P")).keys()
+
+
+@query("select * from part where p_size > 10 and p_size <= 20 and p_retailprice < 950 and p_partkey >= 100")
+def lt_lte_gt_gte(spark, d) -> DataFrame:
+    return Query(bound(spark, d, PART)).where(size.gt(10), size.lte(20), price.lt(950.0), partkey.gte(100)).all()
+
+
+@query("select * from orders where starts_with(o_orderpriority, '1-')")
+def has_prefix(spark, d) -> DataFrame:
+    return Query(orders(spark, d)).where(priority.has_prefix("1-")).all()
+
+
+@query("select p_partkey, p_name from part where list_contains(string_split(p_name, ' '), 'anvil')")
+def contains(spark, d) -> DataFrame:
+    return Query(bound(spark, d, PART)).where(tokens.contains("anvil")).select(part_name).rows()
+
+
+@query("select vec_id, label from embeddings where len(list_filter(embedding, lambda x: x >= 0.3::float and x < 0.32::float)) > 0")
+def contains_range(spark, d) -> DataFrame:
+    q = Query(bound(spark, d, VECTORS)).where(vector.contains_range(0.3, 0.32)).select(Column("label"))
+    return q.rows()
+
+
+@query("select * from orders where (o_orderstatus = 'P' and o_custkey < 50) or o_orderpriority = '5-LOW'")
+def or_dnf(spark, d) -> DataFrame:
+    return Query(orders(spark, d)).where(or_([status.eq("P"), custkey.lt(50)], priority.eq("5-LOW"))).all()
+
+
+@query("select * from events where (props->>'$.k')::int % 7 = 0")
+def filter_opaque(spark, d) -> DataFrame:
+    return Query(bound(spark, d, EVENTS)).filter("cast(get_json_object(props, '$.k') as int) % 7 = 0").all()
+
+
+# ---- order, limit, count
+
+
+@query("select o_orderkey, o_orderpriority, o_totalprice from orders where o_orderstatus = 'O' order by o_orderpriority desc, o_orderkey desc limit 5 offset 3")
+def topk_offset(spark, d) -> DataFrame:
+    return Query(orders(spark, d)).where(status.eq("O")).select(priority, total).order_by(priority.desc()).offset(3).limit(5).rows()
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' and starts_with(o_orderpriority, '1-') order by o_totalprice desc, o_orderkey desc limit 5 offset 3")
+def slice_rows(spark, d) -> DataFrame:
+    return Query(orders(spark, d)).where(status.eq("O"), priority.has_prefix("1-")).select(total).order_by(total.desc()).offset(3).limit(5).rows()
+
+
+@query("select p_partkey, p_brand, p_size, row_number() over (order by p_brand, p_size desc, p_partkey desc)::bigint as pos from part")
+def order_mixed_pos(spark, d) -> DataFrame:
+    q = Query(bound(spark, d, PART)).select(brand, size).order_by(brand.asc(), size.desc())
+    w = Window.orderBy(*[k.sort() for k in q.order], *q.bound.by_pk(True))
+    return q.rows().withColumn("pos", F.row_number().over(w).cast("long"))
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'F' order by o_orderkey offset 100")
+def offset_only(spark, d) -> DataFrame:
+    return Query(orders(spark, d)).where(status.eq("F")).offset(100).keys()
+
+
+@query("select greatest(0, least(10, (select count(*) from orders where o_orderstatus = 'P') - 4))::bigint as n")
+def count_formula(spark, d) -> DataFrame:
+    q = Query(orders(spark, d)).where(status.eq("P")).offset(4).limit(10)
+    return q._matched().agg(F.greatest(F.lit(0), F.least(F.lit(10), F.count("*") - 4)).cast("long").alias("n"))
+
+
+@query("select * from orders limit 0")
+def limit_zero(spark, d) -> DataFrame:
+    return Query(orders(spark, d)).where(status.eq("O")).limit(0).all()
+
+
+# ---- plans over entries
+
+
+@query("select * from orders where o_orderstatus = 'P' or (o_custkey < 50 and o_orderpriority = '5-LOW')")
+def union_dedup(spark, d) -> DataFrame:
+    return Query(orders(spark, d), "index").where(or_(status.eq("P"), [custkey.lt(50), priority.eq("5-LOW")])).all()
+
+
+@query("select o_orderkey from orders where o_orderpriority = '5-LOW' and o_custkey = 10")
+def intersect_semi(spark, d) -> DataFrame:
+    return Query(orders(spark, d), "index").where(priority.eq("5-LOW"), custkey.eq(10)).keys()
+
+
+@query("select o_orderkey, o_orderpriority, o_totalprice from orders where o_orderstatus = 'P' and o_orderpriority >= '2' and o_orderpriority < '4'")
+def rows_covering(spark, d) -> DataFrame:
+    return Query(orders(spark, d), "index").where(status.eq("P"), priority.between("2", "4")).select(priority, total).rows()
+
+
+@query("select * from orders where o_totalprice >= 1000 and o_totalprice < 5000")
+def rows_cover_value(spark, d) -> DataFrame:
+    return Query(orders(spark, d), "index").where(total.between(1000.0, 5000.0)).all()
+
+
+@query("select distinct p_partkey, p_brand, t as token from (select p_partkey, p_brand, unnest(string_split(p_name, ' ')) as t from part)")
+def index_entries_multi(spark, d) -> DataFrame:
+    got = entries(bound(spark, d, PART), PART.index("by_token"))
+    return got.select("p_partkey", F.col("_k_p_brand").alias("p_brand"), F.col("_k_tokens").alias("token"))
+
+
+@query("select p_partkey, p_size from part where p_size > 40")
+def index_partial(spark, d) -> DataFrame:
+    return entries(bound(spark, d, PART), PART.index("large")).select("p_partkey", F.col("_k_p_size").alias("p_size"))
+
+
+@query("select p_name, count(*) as n from part group by p_name having count(*) > 1")
+def unique_violations(spark, d) -> DataFrame:
+    return violations(bound(spark, d, PART), PART.index("by_name")).withColumnRenamed("_k_p_name", "p_name")
+
+
+@query(
+    "select o_orderkey, o_orderstatus, o_orderpriority from orders where (o_orderstatus > 'F' or (o_orderstatus = 'F' and o_orderpriority >= '4')) "
+    "and (o_orderstatus < 'O' or (o_orderstatus = 'O' and o_orderpriority < '2'))"
+)
+def index_tuple_range(spark, d) -> DataFrame:
+    got = IndexReader(orders(spark, d), "by_status").range_entries(("F", "4"), ("O", "2"))
+    return got.select("o_orderkey", F.col("_k_o_orderstatus").alias("o_orderstatus"), F.col("_k_o_orderpriority").alias("o_orderpriority"))
+
+
+@query("select * from orders where o_orderstatus = 'P' and o_orderpriority = '5-LOW'")
+def index_lookup(spark, d) -> DataFrame:
+    return IndexReader(orders(spark, d), "by_status").lookup("P", "5-LOW")
+
+
+@query("select o_orderkey from orders where o_custkey = 10")
+def index_lookup_keys(spark, d) -> DataFrame:
+    return IndexReader(orders(spark, d), "by_customer").lookup_keys(10, reverse=True)
+
+
+@query("select * from orders where o_orderstatus = 'P'")
+def index_prefix(spark, d) -> DataFrame:
+    return IndexReader(orders(spark, d), "by_status").prefix("P")
+
+
+@query("select * from customer where c_name = 'Customer#000000042'")
+def index_get(spark, d) -> DataFrame:
+    return IndexReader(bound(spark, d, CUSTOMER), "by_custname").lookup("Customer#000000042")
+
+
+@query("select 'x' as code, 'x' as subject, 0::bigint as n where false")
+def check_clean(spark, d) -> DataFrame:
+    return check(bound(spark, d, CUSTOMER))
+
+
+@query("select 'index-entry-missing' as code, count(*) as n from orders where o_orderkey < 50")
+def check_index_diff(spark, d) -> DataFrame:
+    b, i = orders(spark, d), ORDERS.index("by_status")
+    stored = sorted_entries(b, i).where("o_orderkey >= 50")
+    return differences(b, i, stored).groupBy("code").agg(F.count("*").alias("n"))
+
+
+# ---- write verbs
+
+
+@query("select o_orderkey, case when o_orderkey < 100 then 'X' else o_orderstatus end as o_orderstatus from orders union all select o_orderkey + 1000000, 'N' from orders where o_orderkey < 4")
+def put_upsert(spark, d) -> DataFrame:
+    b = orders(spark, d)
+    b = Keyspace("orders", "o_orderkey").bind(b.rows.select("o_orderkey", "o_orderstatus"))
+    new = b.rows.where("o_orderkey < 100").withColumn("o_orderstatus", F.lit("X"))
+    more = b.rows.where("o_orderkey < 4").select((F.col("o_orderkey") + 1000000).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"))
+    return write.put(b, new.unionByName(more)).rows
+
+
+@query("select n_nationkey, n_name from nation union all select n_nationkey + 100, n_name from nation where n_nationkey < 5")
+def insert_new(spark, d) -> DataFrame:
+    b = Keyspace("nation", "n_nationkey").bind(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name"))
+    return write.insert(b, b.rows.where("n_nationkey < 5").withColumn("n_nationkey", (F.col("n_nationkey") + 100).cast("int"))).rows
+
+
+@query("select n_nationkey, case when n_nationkey < 5 then upper(n_name) || '!' else n_name end as n_name from nation")
+def replace_present(spark, d) -> DataFrame:
+    b = Keyspace("nation", "n_nationkey").bind(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name"))
+    return write.replace(b, b.rows.where("n_nationkey < 5").withColumn("n_name", F.concat(F.upper("n_name"), F.lit("!")))).rows
+
+
+@query("select * from customer where c_custkey % 10 <> 3")
+def delete_keys(spark, d) -> DataFrame:
+    b = Keyspace("customer", "c_custkey").bind(spark.read.parquet(f"{d}/customer.parquet"))
+    return write.delete(b, b.rows.where("c_custkey % 10 = 3").select("c_custkey")).rows
+
+
+@query("select * from orders where not (o_orderkey >= 10 and o_orderkey < 5000)")
+def delete_range(spark, d) -> DataFrame:
+    return write.delete_range(orders(spark, d), 10, 5000)[0].rows
+
+
+@query("select * from customer where not starts_with(c_name, 'Customer#00000000')")
+def delete_prefix(spark, d) -> DataFrame:
+    return write.delete_prefix(Keyspace("names", "c_name").bind(spark.read.parquet(f"{d}/customer.parquet")), "Customer#00000000")[0].rows
+
+
+@query("select * from customer")
+def bulk_load(spark, d) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    return write.bulk_load(CUSTOMER.bind(rows.limit(0)), rows).rows
+
+
+@query("select c_custkey, 100 + row_number() over (order by c_custkey) as seq from customer")
+def next_sequence(spark, d) -> DataFrame:
+    return write.next_sequences(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"), 100, order=["c_custkey"])
+
+
+# ---- sets
+
+
+@query("select o_custkey, count(distinct o_orderkey) as n from orders group by o_custkey")
+def set_count_values(spark, d) -> DataFrame:
+    return sets.counts(bound(spark, d, CUSTOMER_ORDERS, "orders"))
+
+
+@query("select conv_id, turn, lead(turn) over w as next, lag(turn) over w as previous from (select distinct conv_id, turn from conversations) window w as (partition by conv_id order by turn)")
+def set_next_value(spark, d) -> DataFrame:
+    return sets.steps(bound(spark, d, TURNS, "conversations"))
+
+
+@query("select o_custkey, min(o_orderkey) as first, max(o_orderkey) as last from orders group by o_custkey")
+def set_ends(spark, d) -> DataFrame:
+    return sets.ends(bound(spark, d, CUSTOMER_ORDERS, "orders"))
+
+
+@query("select o_custkey, min(o_orderkey) as o_orderkey from orders where o_custkey > 100 group by o_custkey order by o_custkey limit 1")
+def set_next_key(spark, d) -> DataFrame:
+    return sets.next_key(bound(spark, d, CUSTOMER_ORDERS, "orders"), 100)
+
+
+@query("select o_custkey, min(o_orderkey) as o_orderkey from orders where o_custkey < 100 group by o_custkey order by o_custkey desc limit 1")
+def set_previous_key(spark, d) -> DataFrame:
+    return sets.previous_key(bound(spark, d, CUSTOMER_ORDERS, "orders"), 100)
+
+
+@query("select distinct o_custkey, o_orderkey from orders union select 1, 1 union select 1, 2")
+def set_put(spark, d) -> DataFrame:
+    b = bound(spark, d, CUSTOMER_ORDERS, "orders")
+    new = spark.range(1, 3).select(F.lit(1).cast("long").alias("o_custkey"), F.col("id").alias("o_orderkey"))
+    return sets.put(b, new.unionByName(new))[0].rows
+
+
+@query("select distinct o_custkey, o_orderkey from orders where not (o_custkey >= 10 and o_custkey < 900)")
+def set_delete_range(spark, d) -> DataFrame:
+    return sets.delete_range(bound(spark, d, CUSTOMER_ORDERS, "orders"), 10, 900)[0].rows
+
+
+@query("select l_orderkey, count(*) as n from (select distinct * from lineitem) group by l_orderkey")
+def set_from_lineitem(spark, d) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    member = F.struct(*[c for c in rows.columns if c != "l_orderkey"]).alias("line")
+    return sets.counts(SetKeyspace("lines", ("l_orderkey", "line")).bind(rows.select("l_orderkey", member)))
