@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the output contracts: everything but ASCII white space.
@@ -88,17 +88,25 @@ def fold_of(col, n: int):
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n
 
 
+def in_sample(key: Column, share: float) -> Column:
+    """Whether a key's hash falls in the lowest ``share`` of all: the same keys are drawn whatever the partitions."""
+    place = F.shiftrightunsigned(F.xxhash64(key, F.lit(11)), 11).cast("double") / F.lit(float(1 << 53))
+    return place < F.lit(float(share))
+
+
 def sampled_labels(labels: DataFrame, value: str, rows: int, keep=None) -> DataFrame:
-    """At most ``rows`` labelled ids (doc_id, label), those of the smallest id hash.
+    """About ``rows`` labelled ids (doc_id, label), or all if there are fewer; drawn by a threshold on the id's hash.
 
-    Null ids or labels are left out; of repeated ids the largest label counts.
+    Nothing is sorted or gathered to draw them. Null ids or labels are left out; of repeated ids the largest label counts.
     """
     x = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(value).cast("int").alias("label"))
     x = x.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     if keep is not None:
         x = x.where(keep(F.col("doc_id"), F.col("label")))
-    x = x.groupBy("doc_id").agg(F.max("label").alias("label"))
-    return x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    n = x.count()
+    if n > rows:
+        x = x.where(in_sample(F.col("doc_id"), rows / n))
+    return x.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
 def text_parts(col: pa.Array, most: int = 1 << 21, rows: int = 1 << 16):

@@ -1,7 +1,7 @@
 """Quality rules: hashed byte n-gram log-likelihood ratio between a trusted target and the raw corpus, after base rules.
 
 Both multinomials are over ``BUCKETS`` hashed byte trigrams. The raw one counts every text; the trusted one a bounded sample
-(``TRUSTED_ROWS`` documents, those of the smallest id hash) of documents labelled of quality 1. A text's score is the mean
+(about ``TRUSTED_ROWS`` documents, drawn by their id hash) of documents labelled of quality 1. A text's score is the mean
 of log(trusted / raw) over its trigrams; it passes if the score reaches ``THRESHOLD``.
 """
 
@@ -58,7 +58,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(trusted / raw) by bucket, float32. Without trusted texts all are 0, so that only the base rules reject."""
     picked = sampled_labels(labels, "quality", TRUSTED_ROWS, lambda i, q: q == 1).select(F.col("doc_id").alias("trusted_id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("trusted_id"), "left")  # TRUSTED_ROWS at most
+    rows = rows.join(F.broadcast(picked), F.col("doc_id") == F.col("trusted_id"), "left")  # about TRUSTED_ROWS
     counts = map_arrow(rows.select("text", F.col("trusted_id").isNotNull().alias("trusted")), _count, "bucket long, raw long, trusted long")
     got = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()  # BUCKETS rows at most
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import map_arrow, sampled_labels, text_parts
 
-#: Labelled documents used for fitting, at most: those of the smallest id hash.
+#: Labelled documents used for fitting, about: drawn by a threshold on their id hash.
 LABEL_ROWS = 20_000
 MOST_WORDS = 4096
 FLAG = 0.7
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True)) ->
     chars = character_model(docs)
     picked = sampled_labels(labels, "toxic", LABEL_ROWS, lambda i, y: learn(i))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(picked), "doc_id").select("text", "label")  # LABEL_ROWS at most
+    rows = rows.join(F.broadcast(picked), "doc_id").select("text", "label")  # about LABEL_ROWS
     counts = map_arrow(rows, _labelled_words(chars), "word long, n long, tox long, all boolean").groupBy("word", "all")
     counts = counts.agg(F.sum("n").alias("n"), F.sum("tox").alias("tox"), F.count("*").alias("parts"))
     from .common import materialize
