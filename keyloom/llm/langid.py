@@ -117,10 +117,10 @@ def fit(docs: DataFrame) -> Model:
     n = np.zeros(DIM + 1)
     n[got.column("bin").to_numpy()] = got.column("n").to_numpy()
     idf = (np.log((1 + n[DIM]) / (1 + n[:DIM])) + 1).astype(np.float32)
-    rate = rows.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("rate"))
+    rate = rows.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("rate"))  # a row a language, like the model itself
     mark = F.xxhash64("text", F.lit(11))
     place = (F.shiftrightunsigned(mark, 11).cast("double")) / F.lit(float(1 << 53))
-    some = rows.join(rate, "lang").where(place < F.col("rate")).select("lang", "text", mark.alias("order"))
+    some = rows.join(F.broadcast(rate), "lang").where(place < F.col("rate")).select("lang", "text", mark.alias("order"))
     ship_fn = _clustered(idf, CENTROIDS)
     made = some.groupBy("lang").applyInPandas(ship_fn, "lang string, radius double, centroid array<float>").toArrow().to_pylist()
     made.sort(key=lambda r: (r["lang"], r["radius"]))
