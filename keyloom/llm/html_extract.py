@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import in_sample, map_arrow
 
-#: Pages learned from, at most: those of the smallest hash that name their content.
+#: Pages learned from, about: drawn by a threshold on their hash from those that name their content.
 LEARN_PAGES = 5_000
 
 # Fixed values of HTML.
@@ -126,7 +126,8 @@ def _tally(batches):
 def fit(pages: DataFrame) -> dict[tuple[str, str], float]:
     """Weights by kind and context. Contexts are tag names; those of one page in a thousand or less share a default."""
     named = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)\b"))
-    some = named.select("html", F.xxhash64("html").alias("o")).orderBy("o").limit(LEARN_PAGES).select("html")
+    n = pages.count()
+    some = named if n <= LEARN_PAGES else named.where(in_sample(F.col("html"), LEARN_PAGES / n))
     got = map_arrow(some, _tally, "kind string, context string, inside boolean, n long").groupBy("kind", "context", "inside").agg(F.sum("n").alias("n"))
     got = got.orderBy(F.desc("n"), "kind", "context").limit(1000).collect()  # contexts are tag names
     n: Counter = Counter()
