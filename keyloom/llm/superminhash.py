@@ -6,10 +6,14 @@ together, and a text stops as soon as every slot is filled: later levels can't l
 
 Texts with equal shingle sets are one *class* and are collapsed first, so a group of thousands of
 exact copies is one node. A bucket (equal band) of up to ``SMALL_BUCKET`` classes tests all its pairs,
-a bound that doesn't grow. A larger one tests its members against its most central one, keeps only
-what the found links have not joined, and goes on with more leaders each round until every pair that
-is not yet in one component has been tested. So no bucket is capped and no pair is dropped, while a
-group whose members are linked takes tests in proportion to its size.
+a bound that doesn't grow. A larger one first tests its members against its most central one, L. If u is not
+linked with L, its overlap with L is too small for a link with a set as large as L; so u and m are linked
+only if they share enough of what each has beyond L. The members are therefore dealt anew by those
+shingles, each taking only the prefix of its sorted ones that such a number can't miss. The one exception,
+an m smaller than L with which u could be linked through L alone, is paired by sizes and overlaps. New buckets of
+up to ``SPLIT_BUCKET`` test all pairs between components; the larger take more leaders each round until
+every pair between components has been tested. So no bucket is capped and no pair is dropped, while a
+group of copies takes tests in proportion to its size.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ def rows_for(percent: int) -> int:
 
 
 SMALL_BUCKET = 6
+SPLIT_BUCKET = 32
 BITMAP = 1 << 22
 _LATE = 8  # levels for which a shingle's swaps are kept as a list
 
@@ -165,52 +170,77 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
     sets = sets.where(usable).select(key, F.col("doc_id").alias("rep"), "members")
     sets = materialize(sets.join(needed.select("cls", "rep"), ["cls", "rep"], "left_semi").groupBy("cls").agg(F.first("members").alias("members")), "members")
 
+    def overlaps(pairs: DataFrame, *more) -> DataFrame:
+        """Of pairs (a, b) of classes: both sizes and the size of the intersection."""
+        x = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        size = [F.size(c).cast("long") for c in ("sa", "sb", F.array_intersect("sa", "sb"))]
+        return x.select("a", "b", size[0].alias("na"), size[1].alias("nb"), size[2].alias("both"), *more)
+
+    def least_both(x: str, y: str):
+        """The smallest intersection that links sets of these sizes."""
+        return F.expr(f"({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent}")
+
+    near = F.col("both") >= least_both("na", "nb")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a < b) whose sets are near enough."""
+        """Those of the pairs whose sets are near enough."""
         size = classes.select(F.col("cls"), F.col("n"))
-        pairs = pairs.distinct()
-        pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+        pairs = pairs.distinct().join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
         pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-        x = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        both = F.size(F.array_intersect("sa", "sb")).cast("long")
-        x = x.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("either"))
-        return x.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
-
-    small = members.where(F.col("g") <= SMALL_BUCKET)
-    in_bucket = small.groupBy("bucket").agg(F.sort_array(F.collect_list("cls")).alias("of"))  # at most SMALL_BUCKET
-    two = in_bucket.select(F.explode("of").alias("a"), "of").select("a", F.explode("of").alias("b")).where("a < b")
-    # larger buckets: against the leaders of the lowest hash, more of them each round
-    big = members.where(F.col("g") > SMALL_BUCKET).select("bucket", "cls", "c")
-    links = None
-    group = None
-    rest, leaders, spent = big, 1, []
-    first = True
+        return overlaps(pairs).where(near).select("a", "b")
+
+    def all_pairs(rows: DataFrame) -> DataFrame:
+        """Pairs within the buckets, of a size that doesn't grow, whose components (``of``) differ."""
+        lists = rows.groupBy("bucket").agg(F.collect_list(F.struct("cls", "of")).alias("all"))
+        one = lists.select(F.explode("all").alias("x"), "all")
+        others = F.filter("all", lambda y: (y["cls"] > F.col("x.cls")) & (y["of"] != F.col("x.of")))
+        return one.select(F.col("x.cls").alias("a"), F.explode(others).alias("y")).select("a", F.col("y.cls").alias("b"))
+
+    # every member of a larger bucket against its most central one
+    big = members.where(F.col("g") > SMALL_BUCKET)
+    lead = F.min(F.struct(-F.col("c"), F.xxhash64("cls"), F.col("cls"))).alias("x")
+    chosen = big.groupBy("bucket").agg(lead).select("bucket", F.col("x.cls").alias("a"))
+    star = big.join(chosen, "bucket").where("cls != a").select("a", F.col("cls").alias("b")).distinct()
+    stars = materialize(overlaps(star, F.array_except("sb", "sa").alias("added")), "stars")
+    small = members.where(F.col("g") <= SMALL_BUCKET).withColumn("of", F.col("cls"))
+    links = materialize(confirmed(all_pairs(small)).unionByName(stars.where(near).select("a", "b")), "links")
+    group = components(links)
+
+    # what is left lies between members that the leader does not join: see the module's text
+    told = stars.join(group.toDF("b", "of"), "b", "left").withColumn("of", F.coalesce("of", "b"))
+    split = told.groupBy("a").agg(F.min("nb").alias("low"), F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
+    told = told.join(split.select("a", "low"), "a").withColumn("low", F.greatest("low", F.expr(f"({percent} * nb + 99) div 100")))
+    share = F.greatest(least_both("nb", "low") - F.col("both"), F.lit(1))
+    prefix = F.slice(F.sort_array("added"), 1, F.greatest(F.size("added") - share + 1, F.lit(0)).cast("int"))
+    keyed = told.select("a", F.col("b").alias("cls"), "of", F.col("both").alias("c"), F.explode(prefix).alias("t"))
+    keyed = keyed.withColumn("bucket", F.xxhash64("a", "t")).drop("a", "t")
+    mixed = keyed.groupBy("bucket").agg(F.count("*").alias("g"), F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
+    rest = materialize(keyed.join(mixed.select("bucket", "g"), "bucket"), "rest")
+    inside = told.where(~near & (F.col("both") >= least_both("nb", "low"))).select("a", F.col("b").alias("b1"), F.col("nb").alias("n1"), F.col("both").alias("i1"), F.col("of").alias("of1"))
+    shorter = told.where("nb < na").select("a", F.col("b").alias("b2"), F.col("nb").alias("n2"), F.col("both").alias("i2"), F.col("of").alias("of2"))
+    apart = inside.join(shorter, "a").where((F.col("of1") != F.col("of2")) & (least_both("n1", "n2") <= F.least("i1", "i2")))
+    apart = apart.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
+    pairs = all_pairs(rest.where(F.col("g") <= SPLIT_BUCKET)).unionByName(apart)
+    rest, leaders, spent = rest.where(F.col("g") > SPLIT_BUCKET).select("bucket", "cls", "c"), 8, [rest, stars]
     while True:
-        order = F.xxhash64("bucket", "cls")
-        if leaders == 1:
-            chosen = rest.groupBy("bucket").agg(F.min(F.struct(-F.col("c"), order.alias("o"), F.col("cls"))).alias("x")).select("bucket", F.col("x.cls").alias("leader"))
-        else:
-            top = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("c"), "o", "cls"))
-            chosen = rest.select("bucket", "cls", "c", order.alias("o")).withColumn("rn", top).where(F.col("rn") <= leaders).select("bucket", F.col("cls").alias("leader"))
+        top = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("c"), F.xxhash64("cls"), "cls"))
+        chosen = rest.withColumn("rn", top).where(F.col("rn") <= leaders).select("bucket", F.col("cls").alias("leader"))
         star = rest.join(chosen, "bucket").where("cls != leader")
-        if group is not None:
-            star = star.join(group.toDF("cls", "gc"), "cls", "left").join(group.toDF("leader", "gl"), "leader", "left")
-            star = star.where(F.coalesce("gc", "cls") != F.coalesce("gl", "leader"))
-        pairs = star.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
-        new = materialize(confirmed(pairs.unionByName(two) if first else pairs), "links")
-        first = False
-        links = new if links is None else materialize(links.unionByName(new), "links")
-        group = components(links)
+        star = star.join(group.toDF("cls", "gc"), "cls", "left").join(group.toDF("leader", "gl"), "leader", "left")
+        star = star.where(F.coalesce("gc", "cls") != F.coalesce("gl", "leader"))
+        star = star.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
+        new = materialize(confirmed(star if pairs is None else pairs.unionByName(star)), "links")
+        pairs = None
+        if not new.isEmpty():
+            links = materialize(links.unionByName(new), "links")
+            group = components(links)
         tested = rest.join(chosen, [rest["bucket"] == chosen["bucket"], rest["cls"] == chosen["leader"]], "left_anti")
         labelled = tested.join(group.toDF("cls", "of"), "cls", "left").withColumn("of", F.coalesce("of", "cls"))
-        # a bucket all of whose members are in one component has nothing left to find; nor has a single member.
-        lead = chosen.join(group.toDF("leader", "of"), "leader", "left").select("bucket", F.coalesce("of", "leader").alias("of"))
-        mixed = labelled.select("bucket", "of").unionByName(lead).groupBy("bucket").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
-        left = materialize(labelled.join(mixed, "bucket", "left_semi").select("bucket", "cls", "c"), "rest")
-        if leaders > 1:
-            discard(spark, rest)
-        rest, leaders = left, leaders * 8
-        spent.append(rest)
+        # the leaders have been tested against all others: a bucket whose other members are in one component is done
+        mixed = labelled.groupBy("bucket").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
+        rest, leaders = materialize(labelled.join(mixed, "bucket", "left_semi").select("bucket", "cls", "c"), "rest"), leaders * 8
+        discard(spark, *spent)
+        spent = [rest]
         if rest.isEmpty():
             break
     mine = classes.join(group.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))

@@ -2,6 +2,7 @@
 
 import collections
 import html
+import itertools
 import re
 import struct
 import zlib
@@ -105,6 +106,42 @@ def test_near_duplicates(spark, docs):
     assert superminhash.near_duplicates(df.limit(0), 3, 85).count() == 0
 
 
+def test_near_duplicates_of_one_template(spark):
+    """A large group around one text, with copies beyond the threshold, shortened ones and ones that share edits."""
+    rng = np.random.default_rng(5)
+    base = [f"w{j}" for j in range(150)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+            words[at] = f"e{rng.integers(0, 40)}x{at // 10}"
+        if i % 3 == 0:
+            words = words[: int(rng.integers(125, 150))]
+        rows.append((i, " ".join(words)))
+        if i % 20 == 0:  # a chain that leads away from the text
+            for step in range(1, 5):
+                words = list(words)
+                words[7 * step] = f"c{i}s{step}"
+                words[7 * step + 60] = f"d{i}s{step}"
+                rows.append((1000 + 10 * i + step, " ".join(words)))
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {i: find(i) for i in sets}
+    assert len(set(want.values())) > 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in superminhash.near_duplicates(df, 3, 85).collect()} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (500, 500)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
