@@ -109,7 +109,7 @@ def sampled_labels(labels: DataFrame, value: str, rows: int, keep=None) -> DataF
     return x.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def text_parts(col: pa.Array, most: int = 1 << 21, rows: int = 1 << 16):
+def text_parts(col: pa.Array, most: int = 1 << 19, rows: int = 1 << 16):
     """Split a string column in runs of at most ``rows`` rows and ``most`` bytes (or one row): first row, bytes, offsets.
 
     Nulls are empty texts.

@@ -36,11 +36,11 @@ _T = mix(np.arange(1, 257, dtype=U) * _M)
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     p = _powers.get(inverse)
     if p is None or len(p) < n:
-        size = max(n, 1 << 21) + 1
+        size = max(n, 1 << 19) + 1
         p = np.full(size, _MINV if inverse else _M, U)
         p[0] = 1
         np.multiply.accumulate(p, out=p)
-        if size <= (1 << 22):
+        if size <= (1 << 20):
             _powers[inverse] = p
     return p
 

@@ -29,7 +29,7 @@ STEP = 64
 BLOCK_TOKENS = 1 << 18
 LIMIT = 16
 #: Distinct pieces kept with their ids by each worker; beyond it the memory is emptied and filled again.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 250_000
 
 # ---- tokenizer -------------------------------------------------------------------------------------------------
 
@@ -193,6 +193,7 @@ def encode_rows(path: str, end_id: int):
                 start += int(n.sum())
                 cols = [pa.array(np.full(len(n), part, np.int32)), batch.column(0).slice(at, len(n)), pa.array(first), pa.array(n), blobs]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "first", "n_tokens", "ids"])
+        enc.clear()
 
     return go
 
