@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words of letters and digits become templates: numbers, capitalised names inside a sentence and units after a number turn into
-typed placeholders. Windows of ``WINDOW`` template words are hashed; document windows meet benchmark windows in a hash join (a bitmap of fixed
+Words of letters and digits become templates: numbers (digits with their separators, ordinals, number words), capitalised names (a run of
+them is one, also at the opening of a sentence) and units after a number turn into typed placeholders, each one template word. Windows of ``WINDOW`` template words are hashed; document windows meet benchmark windows in a hash join (a bitmap of fixed
 size over the benchmark's hashes goes to the executors first and keeps back what can't match). For every document and item,
 the fillers of the placeholders must be consistent: one filler of the item always has the same filler in the document. An item
 of which at least ``COVERAGE`` of the windows occur that way is found, be it verbatim or re-parameterised.
@@ -33,6 +33,13 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents kb mb gb tb byte bytes bit bits px"
 ).split()
 
+# Words that are numbers, and endings of ordinals.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+    "thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion dozen"
+).split()
+ORDINALS = ("st", "nd", "rd", "th")
+
 U = np.uint64
 _NUM, _NAME, _UNIT = U(0x6E756D0000000001), U(0x6E616D6500000003), U(0x756E697400000005)
 _WORD = np.zeros(256, bool)
@@ -40,32 +47,59 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _END = np.isin(np.arange(256), list(b".!?\n:;"))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_INSIDE, _LINK = np.isin(np.arange(256), list(b".,'_")), np.isin(np.arange(256), list(b" -"))
 
 
 class Templates:
-    """Template words of many texts: hash, raw filler hash, whether a placeholder, text of each."""
-
-    def __init__(self, b: np.ndarray, offs: np.ndarray, units: np.ndarray):
-        s, e, self.doc = tv.runs(_WORD[b], offs)
-        self.raw = tv.Spans(tv.LOWER[b]).hash(s, e)
-        n = len(s)
+    """Template words of many texts: hash, raw filler hash, whether a placeholder, text and first word (of runs of letters and digits) of each."""
+
+    def __init__(self, b: np.ndarray, offs: np.ndarray, units: np.ndarray, numbers: np.ndarray, ordinals: np.ndarray):
+        spans = tv.Spans(tv.LOWER[b])
+        s, e, doc = tv.runs(_WORD[b], offs)
+        self.word_begin = np.searchsorted(doc, np.arange(len(offs) - 1))
+        # digits that letters follow are a word of their own, but for ordinals
+        letters = np.flatnonzero(_WORD[b] & ~_DIGIT[b])
+        cut = np.minimum(np.append(letters, len(b))[np.searchsorted(letters, s)], e)
+        ordinal = (cut > s) & (cut < e) & _among(spans.hash(cut, e), ordinals)
+        apart = (cut > s) & (cut < e) & ~ordinal
+        word = np.repeat(np.arange(len(s)), 1 + apart)
+        second = np.zeros(len(word), bool)
+        second[1:] = word[1:] == word[:-1]
+        start = np.where(second, cut[word], s[word])
+        end = np.where(apart[word] & ~second, cut[word], e[word])
+        doc = doc[word]
+        n = len(word)
         first = np.ones(n, bool)
-        first[1:] = self.doc[1:] != self.doc[:-1]
-        digits = np.concatenate(([0], np.cumsum(_DIGIT[b], dtype=np.int64)))
-        num = digits[e] - digits[s] == e - s
+        first[1:] = doc[1:] != doc[:-1]
+        raw = spans.hash(start, end)
+        digits = cut[word] == end
+        spelled = _among(raw, numbers)
+        num = digits | ordinal[word] | spelled
         ends = np.concatenate(([0], np.cumsum(_END[b], dtype=np.int64)))
         opens = first.copy()
-        opens[1:] |= ends[s[1:]] > ends[e[:-1]]
-        upper = (b[s] >= 65) & (b[s] <= 90)
-        name = upper & ~opens
+        opens[1:] |= ends[start[1:]] > ends[end[:-1]]
         unit = np.zeros(n, bool)
+        unit[1:] = _among(raw, units)[1:] & num[:-1] & ~first[1:]
+        name = (b[start] >= 65) & (b[start] <= 90) & ~num & ~unit
+        on = np.zeros(n, bool)  # goes on with the placeholder before it
         if n:
-            at = np.minimum(np.searchsorted(units, self.raw), len(units) - 1)
-            unit[1:] = (units[at] == self.raw)[1:] & num[:-1] & ~first[1:]
+            gap, sign = start[1:] - end[:-1] == 1, b[np.minimum(end[:-1], len(b) - 1)]
+            on[1:] = ~first[1:] & gap & (
+                (digits[1:] & digits[:-1] & _INSIDE[sign]) | (spelled[1:] & num[:-1] & _LINK[sign]) | (name[1:] & name[:-1] & (_LINK[sign] | (sign == 39)))
+            )
+        at = np.flatnonzero(~on)
+        last = np.append(at, n)[1:] - 1
+        self.doc, self.word = doc[at], word[at]
+        self.raw = spans.hash(start[at], end[last])
+        # a name's filler without the word that opens the sentence, which may be no part of it; 0 where there is none
+        self.rest = np.zeros(len(at), U)
+        led = name[at] & opens[at] & (last > at)
+        self.rest[led] = spans.hash(start[at[led] + 1], end[last[led]])
+        num, unit, name = num[at], unit[at], name[at]
         self.hole = num | name | unit
         self.hash = np.where(num, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, self.raw)))
-        words = np.bincount(self.doc, minlength=len(offs) - 1)
-        self.words, self.begin = words, np.cumsum(words) - words
+        self.words = np.bincount(self.doc, minlength=len(offs) - 1)
+        self.begin = np.cumsum(self.words) - self.words
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each window of k words that holds enough plain ones."""
@@ -75,27 +109,31 @@ class Templates:
         return at[ok], tv.mix(h[ok] + U(k))
 
     def fillers(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The filler hashes of each window's placeholders, and their counts."""
+        """Two filler hashes of each window's placeholders (the whole, and without the opening word or 0), and their counts."""
         grid = at[:, None] + np.arange(k)
         hole = self.hole[grid]
-        return self.raw[grid][hole], hole.sum(axis=1)
+        return np.stack((self.raw[grid][hole], self.rest[grid][hole]), axis=1).ravel(), 2 * hole.sum(axis=1)
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
-def _units() -> np.ndarray:
-    return np.sort(hash_words(list(UNITS)))
+def _known() -> tuple[np.ndarray, ...]:
+    return tuple(np.sort(hash_words(list(words))) for words in (UNITS, NUMBERS, ORDINALS))
 
 
-_FIELDS = "key long, at int, size int, words int, h long, fill array<long>"
+_FIELDS = "key long, at int, size int, word int, h long, fill array<long>"
 
 
 def _window_rows(sizes: tuple[int, ...] | None, bitmap: np.ndarray | None):
     """(key, text) to one row a window; without sizes, of WINDOW words or the whole of a shorter text."""
 
     def go(batches):
-        units = _units()
+        known = _known()
         for batch in batches:
             for a, b, offs in text_parts(batch.column(1)):
-                t = Templates(b, offs, units)
+                t = Templates(b, offs, *known)
                 for k in sizes or tuple(range(SHORTEST, WINDOW + 1)):
                     at, h = t.windows(k)
                     if sizes is None and k < WINDOW:
@@ -111,9 +149,9 @@ def _window_rows(sizes: tuple[int, ...] | None, bitmap: np.ndarray | None):
                     d = t.doc[at]
                     cols = [
                         batch.column(0).slice(a, len(offs) - 1).take(pa.array(d)), pa.array((at - t.begin[d]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)),
-                        pa.array(t.words[d].astype(np.int32)), pa.array(h.view(np.int64)), list_array(fill.view(np.int64), count, pa.int64()),
+                        pa.array((t.word[at] - t.word_begin[d]).astype(np.int32)), pa.array(h.view(np.int64)), list_array(fill.view(np.int64), count, pa.int64()),
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, ["key", "at", "size", "words", "h", "fill"])
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "at", "size", "word", "h", "fill"])
 
     return go
 
@@ -140,12 +178,13 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> D
     totals = wanted.groupBy("key").agg(F.countDistinct("at").alias("item_windows"), F.max("size").alias("k"))
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).where("key is not null and text is not null")
     have = map_arrow(rows, _window_rows(sizes or (WINDOW,), _bitmap(wanted)), _FIELDS)
-    a, b = have.toDF("doc_id", "at", "size", "words", "h", "fill"), wanted.toDF("item_id", "item_at", "item_size", "item_words", "item_h", "item_fill")
+    a, b = have.toDF("doc_id", "at", "size", "word", "h", "fill"), wanted.toDF("item_id", "item_at", "item_size", "item_word", "item_h", "item_fill")
     hits = a.join(b, (a["h"] == b["item_h"]) & (a["size"] == b["item_size"]) & (F.size("fill") == F.size("item_fill")))
     # windows of one alignment belong together
-    hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "at", "item_at", F.arrays_zip(F.col("item_fill").alias("x"), F.col("fill").alias("y")).alias("pairs"))
+    hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "word", "item_at", F.arrays_zip(F.col("item_fill").alias("x"), F.col("fill").alias("y")).alias("pairs"))
+    hits = hits.withColumn("pairs", F.filter("pairs", lambda p: (p["x"] != 0) & (p["y"] != 0)))
     one = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("item_at").alias("found"), F.min("at").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+        F.collect_set("item_at").alias("found"), F.min("word").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )  # a row's lists are bounded by its item's length
     one = one.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["x"]))) == F.size("pairs"))
     one = one.withColumn("same", F.forall("pairs", lambda p: p["x"] == p["y"]))

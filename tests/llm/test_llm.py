@@ -308,6 +308,23 @@ def test_decontamination(spark, docs):
     assert decontaminate.find(docs, real.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), real).count() == 0
 
 
+def test_decontamination_of_other_lengths(spark):
+    items = [
+        (1, "Alice has 12 apples and 3 pears. Bob gives Alice 5 more apples on the next day. Alice eats 2 of her apples with Bob. How many apples does Alice have now?"),
+        (2, "A shop in Paris lowers the price of its oldest bicycle from 950 euros to 400 euros and then sells it, so what part of the price is gone?"),
+        (3, "The runner carries a bag of 5kg for three miles along the 3rd road and then rests for a while near the old stone bridge."),
+    ]
+    texts = [
+        (1, "Carol has 1,250 apples and 7 pears. Dave Miller gives Carol 15 more apples on the next day. Carol eats 2.5 of her apples with Dave Miller. How many apples does Carol have now?"),
+        (2, "A shop in New York lowers the price of its oldest bicycle from 1,250 euros to 399.50 euros and then sells it, so what part of the price is gone?"),
+        (3, "The runner carries a bag of 12.5 lb for twenty-two miles along the 21st road and then rests for a while near the old stone bridge."),
+        (4, "Carol has 1,250 apples and 7 pears. Dave gives Erin 15 more apples on the next day. Frank eats 2 of her apples with Alice. How many apples does Bob have now?"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.kind, r.coverage, r.first_word) for r in got) == [(i, i, "reparameterised", 1.0, 0) for i in (1, 2, 3)]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet")
     src = {r.page_id: r.html for r in pages.collect()}
