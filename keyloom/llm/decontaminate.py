@@ -4,7 +4,11 @@ Words of letters and digits become templates: numbers (digits with their separat
 them is one, also at the opening of a sentence) and units after a number turn into typed placeholders, each one template word. Windows of ``WINDOW`` template words are hashed; document windows meet benchmark windows in a hash join (a bitmap of fixed
 size over the benchmark's hashes goes to the executors first and keeps back what can't match). For every document and item,
 the fillers of the placeholders must be consistent: one filler of the item always has the same filler in the document. An item
-of which at least ``COVERAGE`` of the windows occur that way is found, be it verbatim or re-parameterised.
+of which at least ``COVERAGE`` of the windows occur that way is found, be it verbatim or re-parameterised. Windows of too few plain words
+meet only where their words are the same.
+
+Beside the templates, windows of ``WINDOW`` words as they stand (the whole of a shorter item) meet in the same join, and an item is also found by
+its share of these. So copies are found of items that are all placeholders, that are short, or whose copy has one filler changed.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from .common import list_array, map_arrow, materialize, text_parts
 from .licenses import hash_words
 
 WINDOW = 8
-SHORTEST = 5  # items of fewer words aren't searched: they would match by chance
+SHORTEST = 5  # items of fewer template words are found only by their words as they stand
 COVERAGE = 0.5
 PLAIN = 3  # words of a window that aren't placeholders, at least
 BITMAP = 1 << 24
@@ -42,6 +46,7 @@ ORDINALS = ("st", "nd", "rd", "th")
 
 U = np.uint64
 _NUM, _NAME, _UNIT = U(0x6E756D0000000001), U(0x6E616D6500000003), U(0x756E697400000005)
+_FEW, _EXACT = U(0x6665770000000007), U(0x6578616374000009)
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 _END = np.isin(np.arange(256), list(b".!?\n:;"))
@@ -67,6 +72,7 @@ class Templates:
         second[1:] = word[1:] == word[:-1]
         start = np.where(second, cut[word], s[word])
         end = np.where(apart[word] & ~second, cut[word], e[word])
+        self.plain, self.plain_doc = spans.hash(s, e), doc
         doc = doc[word]
         n = len(word)
         first = np.ones(n, bool)
@@ -102,11 +108,17 @@ class Templates:
         self.begin = np.cumsum(self.words) - self.words
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of each window of k words that holds enough plain ones."""
+        """First template word and hash of each window of k of them: of the templates if enough are plain, else of the words themselves."""
         at, h = tv.windows(self.hash, self.doc, k)
         plain = np.concatenate(([0], np.cumsum(~self.hole, dtype=np.int64)))
-        ok = plain[at + k] - plain[at] >= min(PLAIN, k)
-        return at[ok], tv.mix(h[ok] + U(k))
+        few = plain[at + k] - plain[at] < min(PLAIN, k)
+        same = tv.windows(self.raw, self.doc, k)[1]
+        return at, tv.mix(np.where(few, same ^ _FEW, h) + U(k))
+
+    def exact(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of each window of k words as they stand."""
+        at, h = tv.windows(self.plain, self.plain_doc, k)
+        return at, tv.mix((h ^ _EXACT) + U(k))
 
     def fillers(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Two filler hashes of each window's placeholders (the whole, and without the opening word or 0), and their counts."""
@@ -123,21 +135,22 @@ def _known() -> tuple[np.ndarray, ...]:
     return tuple(np.sort(hash_words(list(words))) for words in (UNITS, NUMBERS, ORDINALS))
 
 
-_FIELDS = "key long, at int, size int, word int, h long, fill array<long>"
+_FIELDS = "key long, at int, size int, exact boolean, word int, h long, fill array<long>"
 
 
-def _window_rows(sizes: tuple[int, ...] | None, bitmap: np.ndarray | None):
-    """(key, text) to one row a window; without sizes, of WINDOW words or the whole of a shorter text."""
+def _window_rows(sizes: list[tuple[bool, int]] | None, bitmap: np.ndarray | None):
+    """(key, text) to one row a window of the sizes (exact, k); without sizes, of WINDOW words or the whole of a shorter text."""
 
     def go(batches):
         known = _known()
         for batch in batches:
             for a, b, offs in text_parts(batch.column(1)):
                 t = Templates(b, offs, *known)
-                for k in sizes or tuple(range(SHORTEST, WINDOW + 1)):
-                    at, h = t.windows(k)
+                for exact, k in sizes or [*((False, k) for k in range(SHORTEST, WINDOW + 1)), *((True, k) for k in range(1, WINDOW + 1))]:
+                    at, h = t.exact(k) if exact else t.windows(k)
+                    doc = t.plain_doc if exact else t.doc
                     if sizes is None and k < WINDOW:
-                        whole = t.words[t.doc[at]] == k
+                        whole = np.bincount(doc, minlength=len(offs) - 1)[doc[at]] == k
                         at, h = at[whole], h[whole]
                     if bitmap is not None:
                         bit = (h & U(BITMAP - 1)).astype(np.int64)
@@ -145,13 +158,15 @@ def _window_rows(sizes: tuple[int, ...] | None, bitmap: np.ndarray | None):
                         at, h = at[ok], h[ok]
                     if not len(at):
                         continue
-                    fill, count = t.fillers(at, k)
-                    d = t.doc[at]
+                    d = doc[at]
+                    fill, count = (np.zeros(0, U), np.zeros(len(at), np.int64)) if exact else t.fillers(at, k)
+                    word = (at if exact else t.word[at]) - t.word_begin[d]
+                    place = word if exact else at - t.begin[d]
                     cols = [
-                        batch.column(0).slice(a, len(offs) - 1).take(pa.array(d)), pa.array((at - t.begin[d]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)),
-                        pa.array((t.word[at] - t.word_begin[d]).astype(np.int32)), pa.array(h.view(np.int64)), list_array(fill.view(np.int64), count, pa.int64()),
+                        batch.column(0).slice(a, len(offs) - 1).take(pa.array(d)), pa.array(place.astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), exact)),
+                        pa.array(word.astype(np.int32)), pa.array(h.view(np.int64)), list_array(fill.view(np.int64), count, pa.int64()),
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, ["key", "at", "size", "word", "h", "fill"])
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "at", "size", "exact", "word", "h", "fill"])
 
     return go
 
@@ -168,32 +183,35 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
 def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row for each document and benchmark item found in it: doc_id, item_id, n_windows, item_windows, coverage, first_word, kind.
 
-    n_windows counts the item's windows found, first_word is where the first begins (words from 0), kind is ``verbatim`` if all fillers are the
-    item's own, else ``reparameterised``. Null ids and null or empty texts match nothing; repeated documents are found once; other
-    columns are ignored; an empty table on either side gives an empty result.
+    n_windows counts the item's windows found (of templates, or of words as they stand where their share is larger), first_word is where the first
+    begins (words from 0), kind is ``verbatim`` if all fillers are the item's own, else ``reparameterised``. An item shorter than a window is found by
+    the whole of it, be it one word. Null ids, null or empty texts and texts without a letter or digit match nothing; repeated documents are found
+    once; other columns are ignored; an empty table on either side gives an empty result.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).where("key is not null and text is not null")
     wanted = materialize(map_arrow(items, _window_rows(None, None), _FIELDS), "benchmark-windows")
-    sizes = tuple(sorted(r[0] for r in wanted.select("size").distinct().toArrow().to_pylist() for r in [list(r.values())]))  # SHORTEST to WINDOW
-    totals = wanted.groupBy("key").agg(F.countDistinct("at").alias("item_windows"), F.max("size").alias("k"))
+    sizes = sorted((r["exact"], r["size"]) for r in wanted.select("exact", "size").distinct().toArrow().to_pylist())  # 2 * WINDOW at most
+    totals = wanted.groupBy("key", "exact").agg(F.countDistinct("at").cast("long").alias("item_windows")).withColumnRenamed("key", "item_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).where("key is not null and text is not null")
-    have = map_arrow(rows, _window_rows(sizes or (WINDOW,), _bitmap(wanted)), _FIELDS)
-    a, b = have.toDF("doc_id", "at", "size", "word", "h", "fill"), wanted.toDF("item_id", "item_at", "item_size", "item_word", "item_h", "item_fill")
-    hits = a.join(b, (a["h"] == b["item_h"]) & (a["size"] == b["item_size"]) & (F.size("fill") == F.size("item_fill")))
+    have = map_arrow(rows, _window_rows(sizes or [(True, WINDOW)], _bitmap(wanted)), _FIELDS)
+    a, b = have.toDF("doc_id", "at", "size", "exact", "word", "h", "fill"), wanted.toDF("item_id", "item_at", "item_size", "item_exact", "item_word", "item_h", "item_fill")
+    hits = a.join(b, (a["h"] == b["item_h"]) & (a["size"] == b["item_size"]) & (a["exact"] == b["item_exact"]) & (F.size("fill") == F.size("item_fill")))
     # windows of one alignment belong together
-    hits = hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "word", "item_at", F.arrays_zip(F.col("item_fill").alias("x"), F.col("fill").alias("y")).alias("pairs"))
+    hits = hits.select("doc_id", "item_id", "exact", (F.col("at") - F.col("item_at")).alias("shift"), "word", "item_at", F.arrays_zip(F.col("item_fill").alias("x"), F.col("fill").alias("y")).alias("pairs"))
     hits = hits.withColumn("pairs", F.filter("pairs", lambda p: (p["x"] != 0) & (p["y"] != 0)))
-    one = hits.groupBy("doc_id", "item_id", "shift").agg(
+    one = hits.groupBy("doc_id", "item_id", "exact", "shift").agg(
         F.collect_set("item_at").alias("found"), F.min("word").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )  # a row's lists are bounded by its item's length
     one = one.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["x"]))) == F.size("pairs"))
     one = one.withColumn("same", F.forall("pairs", lambda p: p["x"] == p["y"]))
-    both = one.groupBy("doc_id", "item_id").agg(
+    both = one.groupBy("doc_id", "item_id", "exact").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("found")))).cast("long").alias("n_windows"), F.min("first_word").cast("long").alias("first_word"), F.min("same").alias("same")
     )
-    out = both.join(totals.withColumnRenamed("key", "item_id"), "item_id").withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
+    out = both.join(totals, ["item_id", "exact"]).withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
+    best = F.max_by(F.struct("n_windows", "item_windows", "coverage", "first_word"), F.struct("coverage", ~F.col("exact"))).alias("best")
+    out = out.groupBy("doc_id", "item_id").agg(best, F.min("same").alias("same"))
     kind = F.when(F.col("same"), "verbatim").otherwise("reparameterised")
-    return out.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), "coverage", "first_word", kind.alias("kind"))
+    return out.select("doc_id", "item_id", "best.n_windows", "best.item_windows", "best.coverage", "best.first_word", kind.alias("kind"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -325,6 +325,21 @@ def test_decontamination_of_other_lengths(spark):
     assert sorted((r.doc_id, r.item_id, r.kind, r.coverage, r.first_word) for r in got) == [(i, i, "reparameterised", 1.0, 0) for i in (1, 2, 3)]
 
 
+def test_decontamination_of_few_plain_words(spark):
+    items = [
+        (1, "Compute 12 + 45 - 33 + 8 * 9 / 4 + 16 - 7"), (2, "Alice Bob Carol Dave Erin Frank"), (3, "Who wrote it first?"), (4, "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9"),
+        (5, "Paris 7 Rome 8 Oslo 9 Bern 4 Kyiv 5 Riga 2 then all of these towns are put in order"), (6, "..."),
+    ]
+    texts = [
+        (1, "now Compute 12 + 45 - 33 + 8 * 9 / 4 + 16 - 7 at once"), (2, "Names Alice Bob Carol Dave Erin Frank"), (3, "well, who wrote it first, then?"), (4, "so 3 1 4 1 5 9 2 6 5 3 5 8 9 7 9"),
+        (5, "Paris 7 Rome 8 Oslo 9 Bern 4 Kyiv 5 Riga 2 then all"), (6, "Compute 13 + 46 - 34 + 7 * 8 / 5 + 17 - 6, who wrote it"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    # of item 5 half the windows are found, though they have at most two plain words
+    assert sorted((r.doc_id, r.item_id, r.kind, r.first_word) for r in got) == [(1, 1, "verbatim", 1), (2, 2, "verbatim", 1), (3, 3, "verbatim", 1), (4, 4, "verbatim", 1), (5, 5, "verbatim", 0)]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet")
     src = {r.page_id: r.html for r in pages.collect()}
