@@ -340,6 +340,14 @@ def test_decontamination_of_few_plain_words(spark):
     assert sorted((r.doc_id, r.item_id, r.kind, r.first_word) for r in got) == [(1, 1, "verbatim", 1), (2, 2, "verbatim", 1), (3, 3, "verbatim", 1), (4, 4, "verbatim", 1), (5, 5, "verbatim", 0)]
 
 
+def test_decontamination_of_copies_with_one_filler_changed(spark):
+    item = "We know that Alice has a house near the lake with a garden full of old apple trees and two dogs that sleep in it all day, while at night the dogs run to the hill where Alice keeps 12 sheep and 12 goats"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [(1, item.replace("Alice keeps", "Carol keeps")), (2, item.replace("12 goats", "15 goats")), (3, item.replace("Alice keeps 12", "Carol keeps 15").replace("that Alice", "that Erin"))]
+    got = decontaminate.find(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.kind) for r in got) == [(1, "verbatim"), (2, "verbatim"), (3, "verbatim")]
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet")
     src = {r.page_id: r.html for r in pages.collect()}
