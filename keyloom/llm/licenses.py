@@ -1,6 +1,7 @@
 """License scans: ordered signature rules with a keyword prefilter; containment and priority settle overlaps.
 
-A rule is a regular expression over lower-case text with a label, a priority and keywords. It runs only on texts that hold one word of each of
+A rule is a regular expression over lower-case text, its white space and comment prefixes folded to one space, with a label, a priority and
+keywords. It runs only on texts that hold one word of each of
 its keyword groups. Of the detections, a smaller priority number wins, then the longer, then the earlier; a detection
 that lies inside a winner's interval is suppressed.
 """
@@ -8,6 +9,7 @@ that lies inside a winner's interval is suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +26,7 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 # License families. Label, name pattern, versions ("" for none), abbreviation pattern, address pattern.
 FAMILIES = (
     ("apache", r"apache(?: software)? licen[cs]e", ("1.0", "1.1", "2.0"), r"apache", r"apache\.org/licenses/license"),
-    ("gpl", r"(?:gnu )?general public licen[cs]e", ("1.0", "2.0", "3.0"), r"gpl", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
+    ("gpl", r"(?:gnu )?(?<!lesser )(?<!library )(?<!affero )general public licen[cs]e", ("1.0", "2.0", "3.0"), r"gpl", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
     ("lgpl", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", ("2.0", "2.1", "3.0"), r"lgpl", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
     ("agpl", r"(?:gnu )?affero general public licen[cs]e", ("1.0", "3.0"), r"agpl", r"gnu\.org/licenses/agpl"),
     ("gfdl", r"(?:gnu )?free documentation licen[cs]e", ("1.1", "1.2", "1.3"), r"gfdl", r"gnu\.org/licenses/fdl"),
@@ -55,7 +57,7 @@ FAMILIES = (
     ("upl", r"universal permissive licen[cs]e", ("1.0",), r"upl", r"oss\.oracle\.com/licenses/upl"),
     ("vim", r"vim licen[cs]e", ("",), r"vim", r"vimdoc\.sourceforge\.net/\S*license"),
     ("w3c", r"w3c software (?:notice and )?licen[cs]e", ("",), r"w3c", r"w3\.org/consortium/legal"),
-    ("ncsa", r"ncsa open source licen[cs]e", ("",), r"ncsa", r"otm\.illinois\.edu/uiuc_openSource"),
+    ("ncsa", r"ncsa open source licen[cs]e", ("",), r"ncsa", r"otm\.illinois\.edu/uiuc_opensource"),
     ("sleepycat", r"sleepycat licen[cs]e", ("",), r"sleepycat", r"opensource\.org/licen[cs]es?/sleepycat"),
     ("mulan", r"mulan (?:permissive software|psl) licen[cs]e", ("1.0", "2.0"), r"mulanpsl", r"license\.coscl\.org\.cn"),
     ("bsl", r"business source licen[cs]e", ("1.0", "1.1"), r"busl", r"mariadb\.com/bsl"),
@@ -68,6 +70,7 @@ _CC_PARTS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 _CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?-?commercial", "nd": "no ?-?deriv(?:ative)?s?(?: works)?"}
 _GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed|covered|governed)(?: \w+){0,3} (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:\w+ ){0,2}"
+_IDIOMS = {"artistic": r"(?:the|perl|clarified) "}  # names that are also common speech: words that must stand before them
 _LICENSE_WORDS = ("license", "licence", "licensed", "licenced", "licenses", "licences")
 
 
@@ -97,16 +100,22 @@ def rules() -> list[Rule]:
     out = []
     for label, name, versions, short, url in FAMILIES:
         first = re.match(r"[a-z0-9]+", short)[0]
-        for v in versions:
+        host = tuple((w,) for w in url.split("/")[0].split(r"\."))
+        for v in versions if "" in versions else (*versions, ""):
             full = f"{label}-{v}" if v else label
             told = _version(v)
             with_v = f"{name}(?: ?,)?{told}" if not v.endswith("-clause") else name.replace("bsd", f"(?:{told} bsd|bsd {told})")
             short_v = f"{short}{told}" if not v.endswith("-clause") else f"{short}[ -]{told}"
             base = 0 if v else 1
+            grant = rf"\b{_GRANT}(?:{with_v}|{short_v})"
+            if not v and "" not in versions:  # the version isn't told: nothing but "under" makes a bare abbreviation a license
+                grant = rf"\b(?:{_GRANT}{name}|{_GRANT.replace('(?:under|by)', 'under')}{short}\b)"
+                if label in _IDIOMS:
+                    with_v, short_v = f"{_IDIOMS[label]}{name}", f"{_IDIOMS[label]}{short}"
             out += [
-                Rule(f"{full}/grant", full, 10 + base, 0.99, (_LICENSE_WORDS + ("released", "distributed", "available", "published", "provided", "redistributed", "covered", "governed"), ("under", "by")), rf"\b{_GRANT}(?:{with_v}|{short_v})"),
+                Rule(f"{full}/grant", full, 10 + base, 0.99, (_LICENSE_WORDS + ("released", "distributed", "available", "published", "provided", "redistributed", "covered", "governed"), ("under", "by")), grant),
                 Rule(f"{full}/identifier", full, 5 + base, 1.0, (("spdx",),), rf"spdx-license-identifier: *{re.escape(full)}(?:-only|-or-later|\+)?(?![\w.])"),
-                Rule(f"{full}/address", full, 20 + base, 0.95, (("http", "https", "www"),), url + (r"\S{0,12}" + re.escape(v) if v else "")),
+                Rule(f"{full}/address", full, 20 + base, 0.95, host, url + (r"\S{0,12}" + re.escape(v) if v else "")),
                 Rule(f"{full}/name", full, 30 + base, 0.8, (_LICENSE_WORDS + ("unlicense",),), rf"\b{with_v}"),
                 Rule(f"{full}/short", full, 40 + base, 0.6, ((first,), _LICENSE_WORDS), rf"\b{short_v}[ -]licen[cs]ed?\b"),
             ]
@@ -128,21 +137,45 @@ def rules() -> list[Rule]:
         Rule("copyright/reserved", "reserved", 60, 0.7, (("rights",), ("reserved",)), r"\ball rights reserved\b"),
         Rule("proprietary/notice", "proprietary", 55, 0.8, (("proprietary",), ("confidential",)), r"\bproprietary and confidential\b|\bconfidential and proprietary\b"),
         Rule("mit/text", "mit", 12, 0.97, (("permission",), ("granted",)), r"permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-        Rule("isc/text", "isc", 12, 0.97, (("permission",), ("granted",)), r"permission to use, copy, modify,? and/or distribute this software for any purpose"),
+        Rule("isc/text", "isc", 12, 0.97, (("permission",), ("distribute",), ("software",)), r"permission to use, copy, modify,? and/or distribute this software for any purpose"),
         Rule("bsd/text", "bsd", 12, 0.95, (("redistribution",), ("binary",)), r"redistribution and use in source and binary forms, with or without modification, are permitted"),
     ]
     return sorted(out, key=lambda r: (r.priority, r.name))
 
 
+# What is folded to one space: line breaks with the comment signs about them, and other white space that isn't a single space.
+_SIGN = r"(?:/\*+|//+|\*+/|\*+|#+|;+|--+|%+|\"+|'+|!+|>+|\|+|<!--|(?:rem|dnl)(?=\s))"
+_FOLD = re.compile(rf"(?:\s+[*#|/]+)?\s*\n\s*(?:{_SIGN}\s*)*|\s\s+|[^\S ]|\A(?:{_SIGN}\s*)+")
+
+
+def folded(text: str) -> tuple[str, list[int], list[int]]:
+    """The folded text, and where its pieces begin in it and in ``text``."""
+    pieces, here, there, size, last = [], [0], [0], 0, 0
+    for m in _FOLD.finditer(text):
+        pieces += [text[last : m.start()], " "]
+        size += m.start() - last
+        here += [size, size + 1]
+        there += [m.start(), m.end()]
+        size, last = size + 1, m.end()
+    pieces.append(text[last:])
+    return "".join(pieces), here, there
+
+
 def detect(text: str, candidates: list[tuple[Rule, re.Pattern]]) -> list[tuple[int, int, Rule]]:
     """Detections of a lower-case text after suppression, in order of place."""
+    text, here, there = folded(text)
     found = [(r.priority, m.start() - m.end(), m.start(), m.end(), r) for r, p in candidates for m in p.finditer(text) if m.end() > m.start()]
     found.sort(key=lambda x: (*x[:3], x[4].name))
     kept: list[tuple[int, int, Rule]] = []
     for _, _, a, b, r in found:
         if not any(x <= a and b <= y for x, y, _ in kept):
             kept.append((a, b, r))
-    return sorted(kept, key=lambda x: x[:2])
+
+    def place(i: int) -> int:
+        j = bisect_right(here, i) - 1
+        return there[j] + i - here[j]
+
+    return sorted(((place(a), place(b - 1) + 1, r) for a, b, r in kept), key=lambda x: x[:2])
 
 
 _WORD = np.zeros(256, bool)

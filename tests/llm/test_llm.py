@@ -286,6 +286,34 @@ def test_license_rules(spark, text, labels):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+ISC = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee"
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (MIT, "mit"), (BSD, "bsd"), (ISC, "isc"), ("# " + BSD.replace("\n", "\r\n#   "), "bsd"), ("/* " + ISC.replace("\n", " *\n * ") + " */", "isc"), (MIT.replace(" ", "  ").replace("\n", "\n//\t"), "mit"),
+        ("Licensed under the Apache License", "apache"), ("distributed under the MPL", "mpl"), ("the Eclipse\n-- Public License", "epl"), ("GNU Affero General Public License", "agpl,gpl"),
+        ("Licensed under the GNU Lesser General Public License", "gpl,lgpl"), ("licensed under the GNU Lesser General Public License v3", "gpl,lgpl-3.0"), ("AGPL-licensed", "agpl"),
+        ("see apache.org/licenses/LICENSE-2.0 for it", "apache-2.0"), ("gnu.org/licenses/gpl.html", "gpl"), ("http://otm.illinois.edu/uiuc_openSource", "ncsa"),
+        ("provided by the Apache Software Foundation, with some artistic license", ""),
+    ],
+)
+def test_licenses_wrapped_unversioned_and_bare(spark, text, labels):
+    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
+
+
+def test_places_of_licenses_are_the_texts(spark):
+    text = "İx\n\n# first  line\n#\n#  Licensed under\n# the  Apache\n#\tLicense, Version\n# 2.0, and\n  more"
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(lower(text)[d.start : d.end], d.label) for d in r.detections] == [("licensed under\n# the  apache\n#\tlicense, version\n# 2.0", "apache-2.0")]
+    for t in ("", " ", "\n", "  \n" * 5000, " " * 50000, "# " * 20000, "a *" * 20000, " *" * 20000):
+        short, here, there = licenses.folded(t)
+        assert len(here) == len(there) and not re.search(r"\s\s", short)
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame(
         [(1, "Say Alice has 12 apples and gives 5 kg of them to Bob, so how many apples does Alice keep today?"), (2, None), (3, "short one"), (None, "nothing"), (4, "What is the capital of the country of France in the year 1999 after all?")],
