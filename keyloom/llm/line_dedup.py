@@ -6,15 +6,20 @@ occur once, each a symbol of its own. A level ranks all suffixes by their first
 one task. Suffixes of one rank at depth h are an interval of the array whose longest common prefix is at least h lines.
 
 A window of ``min_lines`` lines (or one line of ``min_words`` words) that is not the first of its interval is a later copy. The windows of
-a longer repeated run overlap, so their union is the maximal run; ranking stops at the depth that windows need, while
-``suffix_array`` goes on until all suffixes are apart.
+a longer repeated run overlap, so their union is the maximal run if each has its ``min_words`` words; ranking stops at the depth that windows need,
+while ``suffix_array`` goes on until all suffixes are apart.
+
+With ``whole_runs`` the words are counted over the whole maximal run, whatever the number of its lines. A line belongs to a repeated run of
+``min_words`` words if it lies in the shortest repeated window of so many words from its own first line on, or in one that ends with
+the run, so the shortest windows from each line and to each line are all that is looked at. Windows of 2^k to 2^(k+1) lines are the same if the
+ranks by 2^k lines of their first and last 2^k lines are; doubling goes on as long as repeated suffixes and windows of that length are left.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -25,7 +30,16 @@ MIN_WORDS = 10
 _ALONE = 1 << 62
 
 
-def _line_rows(texts: bool):
+def _shortest(words_before: np.ndarray, first: np.ndarray, end: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of the shortest window of ``min_words`` words from each line on, and up to each line; 0 where its text has none."""
+    n = len(first)
+    i = np.arange(n)
+    stop = np.maximum(np.searchsorted(words_before, words_before[:-1] + min_words), i + 1)
+    start = np.minimum(np.searchsorted(words_before, words_before[1:] - min_words, side="right") - 1, i)
+    return np.where(stop <= end, stop - i, 0), np.where(start >= first, i + 1 - start, 0)
+
+
+def _line_rows(texts: bool, min_words: int | None):
     def go(batches):
         from pyspark import TaskContext
 
@@ -46,6 +60,10 @@ def _line_rows(texts: bool):
                     pa.array(tv.Spans(b).hash(s, e).view(np.int64)), pa.array(n_words.astype(np.int64)), pa.array(chars[e] - chars[s]),
                 ]
                 names = ["doc_id", "uid", "line", "n_lines", "h", "n_words", "n_chars"]
+                if min_words is not None:
+                    begin = np.repeat(np.cumsum(per) - per, per)
+                    cols += [pa.array(x) for x in _shortest(np.concatenate(([0], np.cumsum(n_words))), begin, begin + np.repeat(per, per), min_words)]
+                    names += ["on", "back"]
                 if texts:
                     raw = b.tobytes()
                     cols.append(pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.string()))
@@ -56,14 +74,14 @@ def _line_rows(texts: bool):
     return go
 
 
-def lines_of(docs: DataFrame, texts: bool = False) -> DataFrame:
+def lines_of(docs: DataFrame, texts: bool = False, min_words: int | None = None) -> DataFrame:
     """A stored row for each line: doc_id, uid (of the row of ``docs``), line, n_lines, h, n_words, n_chars (and text).
 
-    Lines are what ``\\n`` parts; a null or empty text is one empty line.
+    With ``min_words``, also on and back: the lines of the shortest windows of so many words from the line on and up to it. Lines are what ``\\n`` parts; a null or empty text is one empty line.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long, uid long, line long, n_lines long, h long, n_words long, n_chars long"
-    return materialize(map_arrow(rows, _line_rows(texts), kind + ", text string" * texts), "lines")
+    return materialize(map_arrow(rows, _line_rows(texts, min_words), kind + ", on long, back long" * (min_words is not None) + ", text string" * texts), "lines")
 
 
 def numbered(pairs: DataFrame) -> DataFrame:
@@ -102,22 +120,13 @@ def ranked(lines: DataFrame, depth: int | None) -> tuple[DataFrame, int]:
     (or are equal to their ends).
     """
     spark = lines.sparkSession
-    twice = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    first = numbered(twice.select(F.col("h").alias("x"), F.lit(0).cast("long").alias("y"), "n"))
-    now = materialize(lines.join(first.select(F.col("x").alias("h"), "rank"), "h").select("uid", "line", "n_lines", "rank"), "ranks")
+    now = _first_ranks(lines)
     groups = None if depth else now.select("rank").distinct().count()
     h = 1
     while depth is None or h < depth:
         step = h if depth is None or 2 * h <= depth else depth - h
-        ahead = now.select("uid", (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
-        pairs = now.join(ahead, ["uid", "line"], "left")
-        after = F.col("line") + step
-        alone = F.lit(_ALONE) + F.shiftrightunsigned(F.xxhash64("uid", after), 2)  # a line that occurs once
-        key = F.when(after >= F.col("n_lines"), F.lit(0).cast("long")).otherwise(F.coalesce("next", alone))
-        pairs = materialize(pairs.select("uid", "line", "n_lines", F.col("rank").alias("x"), key.alias("y")), "doubled")
-        order = numbered(pairs.groupBy("x", "y").agg(F.count("*").alias("n")))
-        new = materialize(pairs.join(order, ["x", "y"]).select("uid", "line", "n_lines", "rank"), "ranks")
-        discard(spark, now, pairs)
+        new = _doubled(now, step)
+        discard(spark, now)
         now, h = new, h + step
         if depth is None:
             found = now.select("rank").distinct().count()
@@ -127,6 +136,26 @@ def ranked(lines: DataFrame, depth: int | None) -> tuple[DataFrame, int]:
     return now, h
 
 
+def _first_ranks(lines: DataFrame) -> DataFrame:
+    twice = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    first = numbered(twice.select(F.col("h").alias("x"), F.lit(0).cast("long").alias("y"), "n"))
+    return materialize(lines.join(first.select(F.col("x").alias("h"), "rank"), "h").select("uid", "line", "n_lines", "rank"), "ranks")
+
+
+def _doubled(now: DataFrame, step: int, least: int = 1) -> DataFrame:
+    """Ranks by ``step`` lines more, of the suffixes of which at least ``least`` share one."""
+    ahead = now.select("uid", (F.col("line") - step).alias("line"), F.col("rank").alias("next"))
+    pairs = now.join(ahead, ["uid", "line"], "left")
+    after = F.col("line") + step
+    alone = F.lit(_ALONE) + F.shiftrightunsigned(F.xxhash64("uid", after), 2)  # a line that occurs once
+    key = F.when(after >= F.col("n_lines"), F.lit(0).cast("long")).otherwise(F.coalesce("next", alone))
+    pairs = materialize(pairs.select("uid", "line", "n_lines", F.col("rank").alias("x"), key.alias("y")), "doubled")
+    order = numbered(pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    new = materialize(pairs.join(order, ["x", "y"]).select("uid", "line", "n_lines", "rank"), "ranks")
+    discard(pairs.sparkSession, pairs)
+    return new
+
+
 def suffix_array(docs: DataFrame) -> DataFrame:
     """(doc_id, uid, line, rank) of every suffix that begins with a repeated line; the array is in order of rank, then doc_id, uid, line."""
     lines = lines_of(docs)
@@ -134,11 +163,11 @@ def suffix_array(docs: DataFrame) -> DataFrame:
     return ranks.join(lines.select("doc_id", "uid", "line"), ["uid", "line"]).select("doc_id", "uid", "line", "rank")
 
 
-def _later(windows: DataFrame, by: str) -> DataFrame:
+def _later(windows: DataFrame, *by: str) -> DataFrame:
     """Windows that are not the first of their interval, in order of doc_id (null last), uid, line."""
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "line")
-    least = windows.groupBy(by).agg(F.min(place).alias("least"))
-    return windows.join(least, by).where(place > F.col("least")).select("uid", "line")
+    least = windows.groupBy(*by).agg(F.min(place).alias("least"))
+    return windows.join(least, list(by)).where(place > F.col("least")).drop("least")
 
 
 def marked(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -153,18 +182,55 @@ def marked(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WO
     at = at.where(F.col("n_words") >= min_words)
     windows = _later(at.select("doc_id", "uid", "line", "rank"), "rank")
     covered = windows.select("uid", F.explode(F.sequence(F.col("line"), F.col("line") + min_lines - 1)).alias("line"))
-    single = _later(lines.where(F.col("n_words") >= min_words).select("doc_id", "uid", "line", "h"), "h")
+    single = _later(lines.where(F.col("n_words") >= min_words).select("doc_id", "uid", "line", "h"), "h").select("uid", "line")
     return covered.unionByName(single).distinct()
 
 
-def digest(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def marked_runs(lines: DataFrame) -> DataFrame:
+    """(uid, line) of the lines of later copies of repeated runs, from the table of ``lines_of`` with its windows."""
+    spark = lines.sparkSession
+    on = lines.where("on > 0").select("doc_id", "uid", "line", F.col("on").alias("size"))
+    back = lines.where("back > 0").select("doc_id", "uid", (F.col("line") - F.col("back") + 1).alias("line"), F.col("back").alias("size"))
+    windows = materialize(on.unionByName(back).distinct(), "run-windows")
+    longest = windows.agg(F.max("size")).first()[0] or 0
+    now, h = _first_ranks(lines), 1
+    found, used = [], []
+    while h <= longest:
+        here = windows.where((F.col("size") >= h) & (F.col("size") < 2 * h))
+        of = here.join(now.select("uid", "line", F.col("rank").alias("head")), ["uid", "line"])
+        tail = now.select("uid", F.col("line").alias("last"), F.col("rank").alias("tail"))
+        of = of.withColumn("last", F.col("line") + F.col("size") - h).join(tail, ["uid", "last"])
+        found.append(materialize(_later(of, "size", "head", "tail").select("uid", "line", "size"), "later"))
+        used.append(now)
+        if 2 * h > longest or not now.limit(1).count():
+            break
+        now, h = _doubled(now, h, 2), 2 * h
+    discard(spark, *used, windows)
+    if not found:
+        return lines.select("uid", "line").limit(0)
+    runs = found[0]
+    for f in found[1:]:
+        runs = runs.unionByName(f)
+    # what a window adds to those that begin before it: each line is made once, however many windows hold it
+    before = Window.partitionBy("uid").orderBy("line", "size").rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.col("line") + F.col("size")
+    runs = runs.withColumn("from", F.greatest("line", F.coalesce(F.max(stop).over(before), F.lit(0)))).where(F.col("from") < stop)
+    return runs.select("uid", F.explode(F.sequence("from", stop - 1)).alias("line"))
+
+
+def _marked(lines: DataFrame, min_lines: int, min_words: int, whole_runs: bool) -> DataFrame:
+    return (marked_runs(lines) if whole_runs else marked(lines, min_lines, min_words)).withColumn("gone", F.lit(True))
+
+
+def digest(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_chars (of the kept lines, borders not counted) of every row of ``docs``.
 
     Null and empty texts have one empty line. Of repeated rows all but one lose their lines; null ids come last. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. With ``whole_runs`` (``min_lines`` isn't used then) every repeated run of
+    ``min_words`` words counts, whatever its lines.
     """
-    lines = lines_of(docs)
-    gone = marked(lines, min_lines, min_words).withColumn("gone", F.lit(True))
+    lines = lines_of(docs, min_words=min_words if whole_runs else None)
+    gone = _marked(lines, min_lines, min_words, whole_runs)
     x = lines.join(gone, ["uid", "line"], "left").groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"), F.count("*").alias("n_lines"), F.count("gone").alias("n_removed"),
         F.coalesce(F.sum(F.when(F.col("gone").isNull(), F.col("n_chars"))), F.lit(0)).alias("kept_chars"),
@@ -172,10 +238,10 @@ def digest(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WOR
     return x.select("doc_id", "n_lines", "n_removed", "kept_chars")
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text (the kept lines), removed (numbers of the deleted lines, from 0) of every row of ``docs``."""
-    lines = lines_of(docs, texts=True)
-    gone = marked(lines.drop("text"), min_lines, min_words).withColumn("gone", F.lit(True))
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+    """doc_id, text (the kept lines), removed (numbers of the deleted lines, from 0) of every row of ``docs``. Parameters as in ``digest``."""
+    lines = lines_of(docs, texts=True, min_words=min_words if whole_runs else None)
+    gone = _marked(lines.drop("text"), min_lines, min_words, whole_runs)
     x = lines.join(gone, ["uid", "line"], "left")
     x = x.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("line", "text", "gone"))).alias("of"))  # one text's lines
     kept = F.filter("of", lambda v: v["gone"].isNull())

@@ -248,6 +248,33 @@ def test_lines(docs):
     assert line_dedup.digest(docs.limit(0)).count() == 0
 
 
+def test_whole_runs_of_lines(spark, docs):
+    short = "\n".join(f"item {i % 7}" for i in range(40))
+    more = [(2000, short), (2001, "head of it\n" + short + "\nfoot"), (2002, "\n" * 60 + "\n".join("abcdefghij")), (2003, "q\n" + "\n".join("abcdefghi")), (2004, "z\n" + "\n".join("abcdefghij") + "\n" * 30)]
+    some = docs.where("doc_id is null or doc_id != 904").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    seen, want, kept_text = set(), {}, {}
+    for i, t in sorted(((r.doc_id, r.text) for r in some.collect()), key=lambda r: (r[0] is None, r[0])):
+        lines = (t or "").split("\n")
+        n = [len(WORD.findall(x)) for x in lines]
+        gone = set()
+        # every window of lines up to the first that holds the words both ways
+        for a in range(len(lines)):
+            for z in range(a + 1, len(lines) + 1):
+                if sum(n[a:z]) < line_dedup.MIN_WORDS:
+                    continue
+                if sum(n[a + 1 : z]) >= line_dedup.MIN_WORDS and sum(n[a : z - 1]) >= line_dedup.MIN_WORDS:
+                    break
+                run = tuple(lines[a:z])
+                gone |= set(range(a, z)) if run in seen else set()
+                seen.add(run)
+        want[i] = (len(lines), len(gone), sum(len(x) for j, x in enumerate(lines) if j not in gone))
+        kept_text[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    assert want[2000][1] > 30 and want[2001][1] == 40 and want[2003][1] == 0 and want[2004][1] == 10
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_chars) for r in line_dedup.digest(some, whole_runs=True).collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(some, whole_runs=True).collect()} == kept_text
+    assert line_dedup.digest(docs.limit(0), whole_runs=True).count() == 0
+
+
 def test_suffix_array(spark):
     texts = ["a\nb\na\nb\na", "b\na\nb", "q\na\nb\nz", "c\nc\nc\nc"]
     got = line_dedup.suffix_array(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
