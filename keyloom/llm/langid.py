@@ -1,7 +1,7 @@
 """Language identification by the nearest of several centroids per language, over hashed byte n-gram TF-IDF vectors.
 
-The document frequencies are of all learning texts; the centroids come from a bounded sample of about ``PER_LANGUAGE`` texts
-of each language, clustered by spherical k-means. A text farther (1 - cosine) from its nearest centroid than nearly all
+The document frequencies are of all learning texts; the centroids come from a bounded sample of about ``PER_LANGUAGE`` distinct texts
+of each language (all where there are fewer), clustered by spherical k-means. A text farther (1 - cosine) from its nearest centroid than nearly all
 of that centroid's own texts is *rejected*: ``identify`` then says ``und`` and keeps the nearest language in ``nearest``.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import map_arrow, text_parts
+from .common import discard, map_arrow, materialize, text_parts
 
 DIM = 4096
 SIZES = (2, 3, 4)
@@ -117,12 +117,16 @@ def fit(docs: DataFrame) -> Model:
     n = np.zeros(DIM + 1)
     n[got.column("bin").to_numpy()] = got.column("n").to_numpy()
     idf = (np.log((1 + n[DIM]) / (1 + n[:DIM])) + 1).astype(np.float32)
-    rate = rows.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("rate"))  # a row a language, like the model itself
+    # drawn over distinct texts, each once: copies neither swell a language's sample nor are left out together
     mark = F.xxhash64("text", F.lit(11))
-    place = (F.shiftrightunsigned(mark, 11).cast("double")) / F.lit(float(1 << 53))
-    some = rows.join(F.broadcast(rate), "lang").where(place < F.col("rate")).select("lang", "text", mark.alias("order"))
+    marks = materialize(rows.select("lang", mark.alias("order")).distinct(), "text-marks")
+    rate = marks.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("rate"))  # a row a language, like the model itself
+    place = (F.shiftrightunsigned(F.col("order"), 11).cast("double")) / F.lit(float(1 << 53))
+    drawn = rows.select("lang", "text", mark.alias("order")).join(F.broadcast(rate), "lang").where(place < F.col("rate"))
+    some = drawn.groupBy("lang", "order").agg(F.min("text").alias("text"))
     ship_fn = _clustered(idf, CENTROIDS)
     made = some.groupBy("lang").applyInPandas(ship_fn, "lang string, radius double, centroid array<float>").toArrow().to_pylist()
+    discard(docs.sparkSession, marks)
     made.sort(key=lambda r: (r["lang"], r["radius"]))
     c = np.array([r["centroid"] for r in made], np.float32).reshape(len(made), DIM)
     return Model([r["lang"] for r in made], c, np.array([r["radius"] for r in made]), idf)

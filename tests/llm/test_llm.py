@@ -473,6 +473,28 @@ def test_language(spark, docs):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_of_few_texts_with_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 20)
+    sizes = spark.sparkContext.accumulator(0)
+    real = langid._clustered
+
+    def counted(idf, k):
+        go = real(idf, k)
+
+        def count(group):
+            sizes.add(len(group))
+            return go(group)
+
+        return count
+
+    monkeypatch.setattr(langid, "_clustered", counted)
+    words = {"aa": "red green blue black white", "bb": "eins zwei drei vier", "cc": "uno due tre quattro cinque sei"}
+    rows = [(f"{words['aa']} {w} {i}", "aa") for w in words["aa"].split() for i in range(8) for _ in range(100)]
+    rows += [(f"{words['bb']} {i}", "bb") for i in range(3) for _ in range(1000)] + [(words["cc"], "cc")] * 4000
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(model.langs) == {"aa", "bb", "cc"} and 4 < sizes.value <= 40 + 3 + 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
