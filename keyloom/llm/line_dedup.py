@@ -2,17 +2,19 @@
 
 Suffixes are ranked by distributed prefix doubling. The alphabet is the lines: repeated ones in order of their 64-bit hash, then lines that
 occur once, each a symbol of its own. A level ranks all suffixes by their first 2h lines from the ranks by h lines: distinct
-(rank, rank h lines on) pairs are counted, range-partitioned and numbered by running sums, so neither a hot line nor a hot pair meets in
-one task. Suffixes of one rank at depth h are an interval of the array whose longest common prefix is at least h lines.
-
-A window of ``min_lines`` lines (or one line of ``min_words`` words) that is not the first of its interval is a later copy. The windows of
-a longer repeated run overlap, so their union is the maximal run if each has its ``min_words`` words; ranking stops at the depth that windows need,
-while ``suffix_array`` goes on until all suffixes are apart.
-
-With ``whole_runs`` the words are counted over the whole maximal run, whatever the number of its lines. A line belongs to a repeated run of
-``min_words`` words if it lies in the shortest repeated window of so many words from its own first line on, or in one that ends with
-the run, so the shortest windows from each line and to each line are all that is looked at. Windows of 2^k to 2^(k+1) lines are the same if the
-ranks by 2^k lines of their first and last 2^k lines are; doubling goes on as long as repeated suffixes and windows of that length are left.
+(rank, rank h lines on) pairs are counted, range-partitioned and numbered by running sums. Suffixes of one rank at depth h are an interval of
+the array whose longest common prefix is at least h lines. Suffixes that are alone in their interval leave: no longer run of theirs repeats.
+
+A *run* is a maximal stretch of lines that occurs, as it stands, at an earlier place too (of an earlier text, or further up in its own; the two may
+overlap). A run of ``min_words`` words or more, whatever the number and length of its lines, is a later copy and is deleted. Its lines are
+the union of the shortest windows of so many words inside it: the window from each line on, or the one up to it where the first would
+leave the run. Such a window is a common prefix of so many lines, so it is a later copy if it isn't the first of its interval; an interval
+at a depth between 2^k and 2^(k+1) lines is given by the ranks by 2^k lines of the window's first and last 2^k lines. So each line asks for two
+intervals, the depth goes as far as repeated suffixes and windows go, and no pair of copies is ever made. ``suffix_array`` goes on until
+all suffixes are apart, and ``later_runs`` gives the runs themselves.
+
+Ranks and first places return to the lines by a join on keys of which one may be most lines: keys of more than 1 in ``HOT`` of the
+rows, so at most ``HOT`` of them, are broadcast, the others are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import discard, map_arrow, materialize, text_parts
 
-MIN_LINES = 2
 MIN_WORDS = 10
+HOT = 1000
 _ALONE = 1 << 62
 
 
@@ -39,7 +41,7 @@ def _shortest(words_before: np.ndarray, first: np.ndarray, end: np.ndarray, min_
     return np.where(stop <= end, stop - i, 0), np.where(start >= first, i + 1 - start, 0)
 
 
-def _line_rows(texts: bool, min_words: int | None):
+def _line_rows(texts: bool, min_words: int):
     def go(batches):
         from pyspark import TaskContext
 
@@ -60,10 +62,9 @@ def _line_rows(texts: bool, min_words: int | None):
                     pa.array(tv.Spans(b).hash(s, e).view(np.int64)), pa.array(n_words.astype(np.int64)), pa.array(chars[e] - chars[s]),
                 ]
                 names = ["doc_id", "uid", "line", "n_lines", "h", "n_words", "n_chars"]
-                if min_words is not None:
-                    begin = np.repeat(np.cumsum(per) - per, per)
-                    cols += [pa.array(x) for x in _shortest(np.concatenate(([0], np.cumsum(n_words))), begin, begin + np.repeat(per, per), min_words)]
-                    names += ["on", "back"]
+                begin = np.repeat(np.cumsum(per) - per, per)
+                cols += [pa.array(x) for x in _shortest(np.concatenate(([0], np.cumsum(n_words))), begin, begin + np.repeat(per, per), min_words)]
+                names += ["on", "back"]
                 if texts:
                     raw = b.tobytes()
                     cols.append(pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.string()))
@@ -74,18 +75,27 @@ def _line_rows(texts: bool, min_words: int | None):
     return go
 
 
-def lines_of(docs: DataFrame, texts: bool = False, min_words: int | None = None) -> DataFrame:
-    """A stored row for each line: doc_id, uid (of the row of ``docs``), line, n_lines, h, n_words, n_chars (and text).
+def lines_of(docs: DataFrame, texts: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
+    """A stored row for each line: doc_id, uid (of the row of ``docs``), line, n_lines, h, n_words, n_chars, on, back (and text).
 
-    With ``min_words``, also on and back: the lines of the shortest windows of so many words from the line on and up to it. Lines are what ``\\n`` parts; a null or empty text is one empty line.
+    on and back are the lines of the shortest windows of ``min_words`` words from the line on and up to it. Lines are what ``\\n`` parts; a null
+    or empty text is one empty line.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id long, uid long, line long, n_lines long, h long, n_words long, n_chars long"
-    return materialize(map_arrow(rows, _line_rows(texts, min_words), kind + ", on long, back long" * (min_words is not None) + ", text string" * texts), "lines")
+    kind = "doc_id long, uid long, line long, n_lines long, h long, n_words long, n_chars long, on long, back long"
+    return materialize(map_arrow(rows, _line_rows(texts, min_words), kind + ", text string" * texts), "lines")
+
+
+def with_counted(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined on ``keys`` with ``groups``, a row for each key with the number ``n`` of rows it will meet."""
+    total = rows.count()
+    hot = groups.where(F.col("n") * HOT > total)  # HOT of them at most
+    spread = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col("n") * HOT <= total), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(spread)
 
 
 def numbered(pairs: DataFrame) -> DataFrame:
-    """(x, y, n) distinct pairs to (x, y, rank): 1 plus the number of suffixes of smaller pairs."""
+    """(x, y, n) distinct pairs to (x, y, n, rank): 1 plus the number of suffixes of smaller pairs."""
     spark = pairs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -108,38 +118,16 @@ def numbered(pairs: DataFrame) -> DataFrame:
     for p in sorted(of):
         start[p], total = total, total + of[p]
     if not start:
-        return made.select("x", "y", F.lit(1).cast("long").alias("rank"))
+        return made.select("x", "y", "n", F.lit(1).cast("long").alias("rank"))
     first = F.element_at(F.create_map(*[F.lit(v) for p in start for v in (p, start[p])]), F.col("part"))
-    return made.select("x", "y", (first + F.col("before") + 1).cast("long").alias("rank"))
-
-
-def ranked(lines: DataFrame, depth: int | None) -> tuple[DataFrame, int]:
-    """(uid, line, n_lines, rank) of the suffixes that begin with a repeated line, ranked by their first h lines, and h.
-
-    Goes on until h reaches ``depth``; without one, until ranks no longer part. Suffixes of equal rank have equal first h lines
-    (or are equal to their ends).
-    """
-    spark = lines.sparkSession
-    now = _first_ranks(lines)
-    groups = None if depth else now.select("rank").distinct().count()
-    h = 1
-    while depth is None or h < depth:
-        step = h if depth is None or 2 * h <= depth else depth - h
-        new = _doubled(now, step)
-        discard(spark, now)
-        now, h = new, h + step
-        if depth is None:
-            found = now.select("rank").distinct().count()
-            if found == groups:
-                break
-            groups = found
-    return now, h
+    return made.select("x", "y", "n", (first + F.col("before") + 1).cast("long").alias("rank"))
 
 
 def _first_ranks(lines: DataFrame) -> DataFrame:
     twice = lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     first = numbered(twice.select(F.col("h").alias("x"), F.lit(0).cast("long").alias("y"), "n"))
-    return materialize(lines.join(first.select(F.col("x").alias("h"), "rank"), "h").select("uid", "line", "n_lines", "rank"), "ranks")
+    found = with_counted(lines.select("uid", "line", "n_lines", "h"), first.select(F.col("x").alias("h"), "n", "rank"), ["h"])
+    return materialize(found.select("uid", "line", "n_lines", "rank"), "ranks")
 
 
 def _doubled(now: DataFrame, step: int, least: int = 1) -> DataFrame:
@@ -151,7 +139,7 @@ def _doubled(now: DataFrame, step: int, least: int = 1) -> DataFrame:
     key = F.when(after >= F.col("n_lines"), F.lit(0).cast("long")).otherwise(F.coalesce("next", alone))
     pairs = materialize(pairs.select("uid", "line", "n_lines", F.col("rank").alias("x"), key.alias("y")), "doubled")
     order = numbered(pairs.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") >= least))
-    new = materialize(pairs.join(order, ["x", "y"]).select("uid", "line", "n_lines", "rank"), "ranks")
+    new = materialize(with_counted(pairs, order, ["x", "y"]).select("uid", "line", "n_lines", "rank"), "ranks")
     discard(pairs.sparkSession, pairs)
     return new
 
@@ -159,35 +147,28 @@ def _doubled(now: DataFrame, step: int, least: int = 1) -> DataFrame:
 def suffix_array(docs: DataFrame) -> DataFrame:
     """(doc_id, uid, line, rank) of every suffix that begins with a repeated line; the array is in order of rank, then doc_id, uid, line."""
     lines = lines_of(docs)
-    ranks, _ = ranked(lines, None)
-    return ranks.join(lines.select("doc_id", "uid", "line"), ["uid", "line"]).select("doc_id", "uid", "line", "rank")
+    now, h = _first_ranks(lines), 1
+    groups = now.select("rank").distinct().count()
+    while True:
+        new = _doubled(now, h)
+        discard(docs.sparkSession, now)
+        now, h = new, 2 * h
+        found = now.select("rank").distinct().count()
+        if found == groups:  # ranks no longer part
+            break
+        groups = found
+    return now.join(lines.select("doc_id", "uid", "line"), ["uid", "line"]).select("doc_id", "uid", "line", "rank")
 
 
 def _later(windows: DataFrame, *by: str) -> DataFrame:
     """Windows that are not the first of their interval, in order of doc_id (null last), uid, line."""
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "line")
-    least = windows.groupBy(*by).agg(F.min(place).alias("least"))
-    return windows.join(least, list(by)).where(place > F.col("least")).drop("least")
-
-
-def marked(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(uid, line) of the lines to delete, from the table of ``lines_of``."""
-    ranks, _ = ranked(lines, min_lines)
-    info = lines.select("doc_id", "uid", "line", "n_words")
-    at = ranks.join(info, ["uid", "line"]).where(F.col("line") + min_lines <= F.col("n_lines"))
-    if min_lines > 1:
-        for i in range(1, min_lines):
-            more = lines.select("uid", (F.col("line") - i).alias("line"), F.col("n_words").alias("more"))
-            at = at.join(more, ["uid", "line"]).withColumn("n_words", F.col("n_words") + F.col("more")).drop("more")
-    at = at.where(F.col("n_words") >= min_words)
-    windows = _later(at.select("doc_id", "uid", "line", "rank"), "rank")
-    covered = windows.select("uid", F.explode(F.sequence(F.col("line"), F.col("line") + min_lines - 1)).alias("line"))
-    single = _later(lines.where(F.col("n_words") >= min_words).select("doc_id", "uid", "line", "h"), "h").select("uid", "line")
-    return covered.unionByName(single).distinct()
-
-
-def marked_runs(lines: DataFrame) -> DataFrame:
-    """(uid, line) of the lines of later copies of repeated runs, from the table of ``lines_of`` with its windows."""
+    least = windows.groupBy(*by).agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
+    return with_counted(windows, least, list(by)).where(place > F.col("least")).drop("least", "n")
+
+
+def _later_windows(lines: DataFrame) -> DataFrame:
+    """(uid, from, stop) of the later copies among the shortest windows, each without what the ones before it of its text hold."""
     spark = lines.sparkSession
     on = lines.where("on > 0").select("doc_id", "uid", "line", F.col("on").alias("size"))
     back = lines.where("back > 0").select("doc_id", "uid", (F.col("line") - F.col("back") + 1).alias("line"), F.col("back").alias("size"))
@@ -199,50 +180,58 @@ def marked_runs(lines: DataFrame) -> DataFrame:
         here = windows.where((F.col("size") >= h) & (F.col("size") < 2 * h))
         of = here.join(now.select("uid", "line", F.col("rank").alias("head")), ["uid", "line"])
         tail = now.select("uid", F.col("line").alias("last"), F.col("rank").alias("tail"))
-        of = of.withColumn("last", F.col("line") + F.col("size") - h).join(tail, ["uid", "last"])
+        of = materialize(of.withColumn("last", F.col("line") + F.col("size") - h).join(tail, ["uid", "last"]), "interval-windows")
         found.append(materialize(_later(of, "size", "head", "tail").select("uid", "line", "size"), "later"))
-        used.append(now)
-        if 2 * h > longest or not now.limit(1).count():
+        used += [now, of]
+        if 2 * h > longest or now.isEmpty():
             break
         now, h = _doubled(now, h, 2), 2 * h
     discard(spark, *used, windows)
     if not found:
-        return lines.select("uid", "line").limit(0)
+        return lines.select("uid", F.col("line").alias("from"), F.col("line").alias("stop")).limit(0)
     runs = found[0]
     for f in found[1:]:
         runs = runs.unionByName(f)
-    # what a window adds to those that begin before it: each line is made once, however many windows hold it
     before = Window.partitionBy("uid").orderBy("line", "size").rowsBetween(Window.unboundedPreceding, -1)
     stop = F.col("line") + F.col("size")
-    runs = runs.withColumn("from", F.greatest("line", F.coalesce(F.max(stop).over(before), F.lit(0)))).where(F.col("from") < stop)
-    return runs.select("uid", F.explode(F.sequence("from", stop - 1)).alias("line"))
+    runs = runs.select("uid", F.greatest("line", F.coalesce(F.max(stop).over(before), F.lit(0))).alias("from"), stop.alias("stop"))
+    return runs.where(F.col("from") < F.col("stop"))
+
+
+def marked(lines: DataFrame) -> DataFrame:
+    """(uid, line, gone) of the lines of later copies, from the table of ``lines_of``: each line once."""
+    return _later_windows(lines).select("uid", F.explode(F.sequence("from", F.col("stop") - 1)).alias("line"), F.lit(True).alias("gone"))
 
 
-def _marked(lines: DataFrame, min_lines: int, min_words: int, whole_runs: bool) -> DataFrame:
-    return (marked_runs(lines) if whole_runs else marked(lines, min_lines, min_words)).withColumn("gone", F.lit(True))
+def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, uid, first_line, n_lines, n_words of the stretches of lines that later copies take up; stretches that touch are one."""
+    lines = lines_of(docs, min_words=min_words)
+    x = lines.join(marked(lines), ["uid", "line"])
+    nth = F.row_number().over(Window.partitionBy("uid").orderBy("line"))
+    x = x.withColumn("run", F.col("line") - nth).groupBy("uid", "run")
+    return x.agg(
+        F.first("doc_id").alias("doc_id"), F.min("line").alias("first_line"), F.count("*").alias("n_lines"), F.sum("n_words").alias("n_words")
+    ).select("doc_id", "uid", "first_line", "n_lines", "n_words")
 
 
-def digest(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_chars (of the kept lines, borders not counted) of every row of ``docs``.
 
     Null and empty texts have one empty line. Of repeated rows all but one lose their lines; null ids come last. Other
-    columns are ignored; an empty table gives an empty result. With ``whole_runs`` (``min_lines`` isn't used then) every repeated run of
-    ``min_words`` words counts, whatever its lines.
+    columns are ignored; an empty table gives an empty result.
     """
-    lines = lines_of(docs, min_words=min_words if whole_runs else None)
-    gone = _marked(lines, min_lines, min_words, whole_runs)
-    x = lines.join(gone, ["uid", "line"], "left").groupBy("uid").agg(
+    lines = lines_of(docs, min_words=min_words)
+    x = lines.join(marked(lines), ["uid", "line"], "left").groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"), F.count("*").alias("n_lines"), F.count("gone").alias("n_removed"),
         F.coalesce(F.sum(F.when(F.col("gone").isNull(), F.col("n_chars"))), F.lit(0)).alias("kept_chars"),
     )
     return x.select("doc_id", "n_lines", "n_removed", "kept_chars")
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
-    """doc_id, text (the kept lines), removed (numbers of the deleted lines, from 0) of every row of ``docs``. Parameters as in ``digest``."""
-    lines = lines_of(docs, texts=True, min_words=min_words if whole_runs else None)
-    gone = _marked(lines.drop("text"), min_lines, min_words, whole_runs)
-    x = lines.join(gone, ["uid", "line"], "left")
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text (the kept lines), removed (numbers of the deleted lines, from 0) of every row of ``docs``. As in ``digest``."""
+    lines = lines_of(docs, texts=True, min_words=min_words)
+    x = lines.join(marked(lines.drop("text")), ["uid", "line"], "left")
     x = x.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("line", "text", "gone"))).alias("of"))  # one text's lines
     kept = F.filter("of", lambda v: v["gone"].isNull())
     return x.select("doc_id", F.array_join(F.transform(kept, lambda v: v["text"]), "\n").alias("text"), F.transform(F.filter("of", lambda v: v["gone"]), lambda v: v["line"]).alias("removed"))

@@ -76,22 +76,21 @@ QUERIES = {
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
+    # every pair of equal lines; pairs side by side in both texts make the maximal common runs
     "op6_line_dedup": rf"""
         with l as (
             select doc_id, u.i - 1 as line, u.t as text, len(regexp_extract_all(u.t, '{_WORDS}')) as n_words
             from documents, (select 1) one, lateral (select unnest(string_split(coalesce(text, ''), chr(10))) as t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i) u
         ),
-        w as (select *, lead(text) over d as next, lead(n_words) over d as next_words from l window d as (partition by doc_id order by line)),
-        s as (select *, row_number() over (partition by text order by doc_id, line) as nth from w),
-        p as (select *, row_number() over (partition by text, next order by doc_id, line) as pair_nth from s),
-        m as (
-            select *, n_words >= {line_dedup.MIN_WORDS} and nth > 1 as alone,
-                next is not null and n_words + next_words >= {line_dedup.MIN_WORDS} and pair_nth > 1 as pair from p
+        p as (
+            select b.doc_id, b.line, b.n_words, a.doc_id as of_doc, b.line - a.line as shift from l a join l b
+            on a.text = b.text and (a.doc_id < b.doc_id or (a.doc_id = b.doc_id and a.line < b.line))
         ),
-        g as (select *, alone or pair or coalesce(lag(pair) over (partition by doc_id order by line), false) as gone from m)
-        select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed,
-            cast(coalesce(sum(length(text)) filter (where not gone), 0) as bigint) as kept_chars
-        from g group by doc_id""",
+        r as (select *, line - row_number() over (partition by doc_id, of_doc, shift order by line) as run from p),
+        w as (select *, sum(n_words) over (partition by doc_id, of_doc, shift, run) as words from r),
+        g as (select distinct doc_id, line from w where words >= {line_dedup.MIN_WORDS})
+        select l.doc_id, count(*) as n_lines, count(g.line) as n_removed, cast(coalesce(sum(length(l.text)) filter (where g.line is null), 0) as bigint) as kept_chars
+        from l left join g on l.doc_id = g.doc_id and l.line = g.line group by l.doc_id""",
     "op8_mixing": rf"""
         with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0)::bigint as size from documents),
         b as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % {mixing.CYCLE} + 1 as w from d group by source),

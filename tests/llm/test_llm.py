@@ -225,54 +225,56 @@ def test_pieces_are_the_tokenizers():
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [enc.tok.encode(t, add_special_tokens=False).ids + [1] for t in odd]
 
 
-def test_lines(docs):
-    rows = [(i, t) for i, t in plain(docs) if i != 904]
-    seen, want, kept_text = set(), {}, {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
-        lines = (t or "").split("\n")
-        n = [len(WORD.findall(x)) for x in lines]
-        gone, now = set(), []
-        for j, x in enumerate(lines):
-            if n[j] >= line_dedup.MIN_WORDS and (x,) in seen:
-                gone.add(j)
-            if j + 1 < len(lines) and n[j] + n[j + 1] >= line_dedup.MIN_WORDS and (x, lines[j + 1]) in seen:
-                gone |= {j, j + 1}
-            seen.add((x,))
-            if j + 1 < len(lines):
-                seen.add((x, lines[j + 1]))
-        want[i] = (len(lines), len(gone), sum(len(x) for j, x in enumerate(lines) if j not in gone))
-        kept_text[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
-    some = docs.where("doc_id is null or doc_id != 904")
-    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_chars) for r in line_dedup.digest(some).collect()} == want
-    assert {r.doc_id: r.text for r in line_dedup.deduplicated(some).collect()} == kept_text
-    assert line_dedup.digest(docs.limit(0)).count() == 0
-
-
-def test_whole_runs_of_lines(spark, docs):
+def later_copies(rows, min_words):
+    """Lines in maximal runs that an earlier place has too, from all pairs of places."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0]))
+    texts = [(t or "").split("\n") for _, t in rows]
+    words = [[len(WORD.findall(x)) for x in ls] for ls in texts]
+    where, gone = collections.defaultdict(list), [set() for _ in texts]
+    for d, ls in enumerate(texts):
+        for j, x in enumerate(ls):
+            for e, k in where[x]:
+                if j and k and ls[j - 1] == texts[e][k - 1]:
+                    continue  # not where the run begins
+                n = 0
+                while j + n < len(ls) and k + n < len(texts[e]) and ls[j + n] == texts[e][k + n]:
+                    n += 1
+                if sum(words[d][j : j + n]) >= min_words:
+                    gone[d] |= set(range(j, j + n))
+            where[x].append((d, j))
+    return [(i, ls, g) for (i, _), ls, g in zip(rows, texts, gone, strict=True)]
+
+
+def test_lines(spark, docs):
     short = "\n".join(f"item {i % 7}" for i in range(40))
+    menu = "\n".join(["home", "news", "about us", "all products", "contact", "help", "terms", "privacy", "sign in", "careers", "press", "site map"])  # 16 words
     more = [(2000, short), (2001, "head of it\n" + short + "\nfoot"), (2002, "\n" * 60 + "\n".join("abcdefghij")), (2003, "q\n" + "\n".join("abcdefghi")), (2004, "z\n" + "\n".join("abcdefghij") + "\n" * 30)]
+    more += [(3000 + i, f"top {i}\n{menu}\nend {i}") for i in range(3)] + [(4000, "u v\n" * 30 + "w"), (4001, "ten words are in this line of text, so it's\nx\ny"), (4002, "ten words are in this line of text, so it's\nx\ny\nz")]
     some = docs.where("doc_id is null or doc_id != 904").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    seen, want, kept_text = set(), {}, {}
-    for i, t in sorted(((r.doc_id, r.text) for r in some.collect()), key=lambda r: (r[0] is None, r[0])):
-        lines = (t or "").split("\n")
-        n = [len(WORD.findall(x)) for x in lines]
-        gone = set()
-        # every window of lines up to the first that holds the words both ways
-        for a in range(len(lines)):
-            for z in range(a + 1, len(lines) + 1):
-                if sum(n[a:z]) < line_dedup.MIN_WORDS:
-                    continue
-                if sum(n[a + 1 : z]) >= line_dedup.MIN_WORDS and sum(n[a : z - 1]) >= line_dedup.MIN_WORDS:
-                    break
-                run = tuple(lines[a:z])
-                gone |= set(range(a, z)) if run in seen else set()
-                seen.add(run)
-        want[i] = (len(lines), len(gone), sum(len(x) for j, x in enumerate(lines) if j not in gone))
-        kept_text[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
-    assert want[2000][1] > 30 and want[2001][1] == 40 and want[2003][1] == 0 and want[2004][1] == 10
-    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_chars) for r in line_dedup.digest(some, whole_runs=True).collect()} == want
-    assert {r.doc_id: r.text for r in line_dedup.deduplicated(some, whole_runs=True).collect()} == kept_text
-    assert line_dedup.digest(docs.limit(0), whole_runs=True).count() == 0
+    brute = later_copies([(r.doc_id, r.text) for r in some.collect()], line_dedup.MIN_WORDS)
+    gone = {i: len(g) for i, _, g in brute}
+    # overlapping runs of one text, a whole copy, too few words, empty lines, a menu of short lines in three texts, short lines that end a run
+    assert gone[2000] > 30 and gone[2001] == 40 and gone[2003] == 0 and gone[2004] == 10 and [gone[i] for i in (3000, 3001, 3002)] == [0, 12, 12] and gone[4000] == 29 and gone[4002] == 3
+    want = {i: (len(ls), len(g), sum(len(x) for j, x in enumerate(ls) if j not in g)) for i, ls, g in brute}
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_chars) for r in line_dedup.digest(some).collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(some).collect()} == {i: "\n".join(x for j, x in enumerate(ls) if j not in g) for i, ls, g in brute}
+    runs = collections.defaultdict(set)
+    for r in line_dedup.later_runs(some).collect():
+        assert not runs[r.doc_id] & set(range(r.first_line - 1, r.first_line + r.n_lines + 1)) and r.n_words >= line_dedup.MIN_WORDS
+        runs[r.doc_id] |= set(range(r.first_line, r.first_line + r.n_lines))
+    assert {i: s for i, s in runs.items() if s} == {i: g for i, _, g in brute if g}
+    assert line_dedup.digest(docs.limit(0)).count() == 0 and line_dedup.later_runs(docs.limit(0)).count() == 0
+
+
+def test_lines_of_repeated_rows_and_hot_lines(spark, monkeypatch):
+    """Rows of one id and text, ties, clashing columns, and joins in which every key is hot or none is."""
+    text = "one two three four five\nsix seven eight nine ten\nrest"
+    rows = [(1, text), (1, text), (None, text), (2, "rest\n" + text), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("uid", "line", "h", "n", "rank", "gone", "size", "head", "tail", "on")})
+    want = [(1, 3, 0), (1, 3, 3), (2, 4, 3), (3, 1, 0), (4, 1, 0), (None, 3, 3)]
+    for hot in (1, 1000):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert sorted(((r.doc_id, r.n_lines, r.n_removed) for r in line_dedup.digest(df).collect()), key=str) == sorted(want, key=str)
 
 
 def test_suffix_array(spark):
