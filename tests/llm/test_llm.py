@@ -5,6 +5,7 @@ import html
 import itertools
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, html_extract, langid, licenses, line_dedup, mixing, quality, superminhash, token_io, toxicity
+from keyloom.llm import decontaminate, html_extract, langid, licenses, line_dedup, mixing, quality, queries, superminhash, token_io, toxicity
 from keyloom.llm import textvec as tv
 from keyloom.llm.common import text_parts
 from keyloom.llm.components import components
@@ -425,6 +426,60 @@ def test_pages(spark):
     assert html_extract.extract(odd.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>A heading</h1><p>" + "The first paragraph has some words in it. " * 4 + "</p><p>" + "The second one goes on for a while. " * 4 + "</p>"
+ARTICLE_TEXT = "A heading\n" + ("The first paragraph has some words in it. " * 4).strip() + "\n" + ("The second one goes on for a while. " * 4).strip()
+AROUND = "<body><header><a href=/>Site</a></header><nav><ul><li><a>One</a><li><a>Two</a></ul></nav>{}<footer>Foot words</footer></body>"
+COMMENT = "<p>I do not agree with it at all, and here is why I think so, in many words.</p>" * 9
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return html_extract.fit(spark.read.parquet(f"{DIR}/pages.parquet"))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout sidebar-right">{ARTICLE}</div>', f'<div class="content overflow-hidden">{ARTICLE}</div>', f'<div class="share-price">{ARTICLE}</div>', f'<div aria-hidden="false">{ARTICLE}</div>',
+        f'<article>{ARTICLE}</article><section><article class="comment">{COMMENT}</article><article class="comment">{COMMENT}</article></section>', f'<div class="article-header">{ARTICLE[:18]}</div>{ARTICLE[18:]}',
+        f'<div id="main">{ARTICLE}<div class="cookieBanner"><p>{"We use cookies on this site. " * 9}</p></div></div>', f'<form id="aspnetForm"><div>{ARTICLE}</div></form><form><p>Your name here please</p></form>',
+        f'<body class="has-sidebar no-comments"><main class="with-comments">{ARTICLE}</main><div id="disqus_thread">{COMMENT}</div>', f"<nav><ul><li>One two<article>{ARTICLE}</article>", f'<div class="comments-enabled"><article>{ARTICLE}</article></div>',
+        f'<div hidden>{COMMENT}</div><div class="post">{ARTICLE}</div><div style="display: none">{COMMENT}</div>', f"<div><![CDATA[ x ]]><!-- a > b -->{ARTICLE}<script>if (a < b) '</p>'</script></div>",
+        f'<div title="a > b" data-x=\'"<p>\'>{ARTICLE}</div>', f'<div class="sidebar widget"><p>{"Some words beside the text. " * 3}</p></div><div class="post">{ARTICLE}</div><ol class="commentlist"><li>{COMMENT}</ol>',
+    ],
+)
+def test_pages_of_other_markup(weights, page):
+    assert html_extract.extract_text(AROUND.format(page), weights) == ARTICLE_TEXT
+    assert html_extract.extract_text(AROUND.format(page), {}) == ARTICLE_TEXT  # where no page names its content
+
+
+def test_best_run_is_the_best():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        x = rng.integers(-5, 5, int(rng.integers(0, 14))).tolist()
+        a, b = html_extract.best_run(x)
+        assert sum(x[a:b]) == max([0, *(sum(x[i:j]) for i in range(len(x)) for j in range(i, len(x) + 1))]) and (a, b) != (0, 0) or max(x, default=0) <= 0
+
+
+def test_long_pages_take_linear_time(weights):
+    n = 1 << 20
+    bits = ["<a ", "<b>", '<a "', '<a b="', "<a b='>", "</i>", "<p class=comment>x", "<div class='x sidebar'>y", "<!-- ", "<![CDATA[", "<script>", "</script ", "< ", "a=b ", "&amp;", "<a " + " " * 50]
+    for page in [*(x * (n // len(x)) for x in bits), "<b>" * (n // 6) + "</i>" * (n // 8), "<a b=" * (n // 10) + ">" * (n // 2), '<p a="' * (n // 12) + '>" ' * (n // 6)]:
+        began = time.perf_counter()
+        html_extract.extract_text(page, weights)
+        assert time.perf_counter() - began < 8, page[:20]
+    long = "<article>" + "".join(f"<p>{i} words of a long page</p>" for i in range(20000)) + "</article>"
+    assert html_extract.extract_text(AROUND.format(long), weights).count("\n") == 19999
+
+
+def test_pages_with_clashing_columns_and_the_query(spark):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    more = pages.withColumns({c: F.lit("clash") for c in ("text", "n_chars", "kind", "context", "inside", "n")})
+    assert html_extract.extract(more).exceptAll(html_extract.extract(pages)).isEmpty()
+    got = queries.op4_html_extraction(spark, DIR)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == pages.count()
+
+
 def test_toxicity(spark, docs, labels):
     model = toxicity.fit(docs, labels)
     got = toxicity.score(docs, model).collect()
