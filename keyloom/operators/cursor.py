@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidOptions, NotFound
 from ..sources.model import Bound
+from .numbering import beside
 from .write import in_range
 
 
@@ -97,6 +98,8 @@ def pages(bound: Bound, size: int):
 
 def neighbours(bound: Bound, group: str | None = None) -> DataFrame:
     """Every row with the next and the previous key inside its group (a column; without one over the whole table)."""
-    w = Window.partitionBy(group).orderBy(*bound.by_pk()) if group else Window.orderBy(*bound.by_pk())
     key = F.struct(*bound.space.pk)
+    if group is None:
+        return beside(bound.rows, bound.by_pk(), key, "next", "previous")
+    w = Window.partitionBy(group).orderBy(*bound.by_pk())
     return bound.rows.withColumn("next", F.lead(key).over(w)).withColumn("previous", F.lag(key).over(w))

@@ -1,13 +1,16 @@
 """The query builder. Every plan gives what a scan that evaluates all terms would give.
 
-The scan lowering (default) is one filter that Catalyst pushes to the Parquet reader. The index lowering reads entries; it
-pays where entries cover what is asked, since Spark has no random access to rows.
+The scan lowering (default) is one filter that Catalyst pushes to the Parquet reader. The index lowering reads entries in place of rows where they are
+stored and cover what is asked. Where rows are needed (``row-bytes``, ``back-lookup``), or entries would have to be cut from the
+rows first, the plan's terms become the rows' filter: Spark has no random access to rows, so entries would only add a second read and a join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +19,8 @@ from ..errors import ColumnAbsent, InvalidOptions, MaterializeLimit
 from ..functions.columns import Column, MultiColumn, OrderKey, Term, conjunction
 from ..plans.planner import Leaf, Plan, explain, plan_query
 from ..sources.model import Bound
-from .index import VALUE, candidates, cover_name, entries, key_name
+from .index import VALUE, candidates, collapsed, cover_name, key_name
+from .numbering import numbered
 
 
 class Query:
@@ -45,11 +49,20 @@ class Query:
         self.terms += terms
         return self
 
-    def filter(self, condition: SparkColumn | str) -> Query:
-        """A condition the planner doesn't look into; it sees whole rows."""
+    def filter(self, condition: SparkColumn | str | Callable) -> Query:
+        """A condition the planner doesn't look into; it sees whole rows.
+
+        A function takes a pandas frame of rows and returns a series of booleans; it runs over Arrow batches.
+        """
         if condition is None:
             return self._fail("filter() takes a condition")
-        self.filters.append(F.expr(condition) if isinstance(condition, str) else condition)
+        if isinstance(condition, str):
+            condition = F.expr(condition)
+        elif not isinstance(condition, SparkColumn):
+            if not callable(condition):
+                return self._fail("filter() takes a condition")
+            condition = _pandas_condition(condition)(F.struct(*[F.col(c) for c in self.bound.rows.columns]))
+        self.filters.append(condition)
         return self
 
     def select(self, *columns: Column) -> Query:
@@ -110,16 +123,29 @@ class Query:
             raise InvalidOptions("rows() needs select()")
         pk = list(self.bound.space.pk)
         plan = self.plan()
-        if self.lowering == "index" and plan.values == "entry":
+        if self.lowering == "index" and plan.values == "entry" and self._stored(plan.leaves[0]):
+            self._meter()
             return self._bounded(self._from_entries(plan))
         names = [c.expr().alias(c.name) for c in self.selected if c.name not in pk]
         return self._bounded(self._ordered(self._matched())).select(*pk, *names)
 
-    def count(self) -> int:
-        """max(0, min(limit, matched - offset)); order plays no part."""
+    def counted(self) -> DataFrame:
+        """One row, n: max(0, min(limit, matched - offset)); order plays no part."""
         self._check()
-        n = max(0, self._matched().count() - self._offset)
-        return n if self._limit is None else max(0, min(self._limit, n))
+        self._meter(order=False)
+        n = F.count("*") - self._offset
+        if self._limit is not None:
+            n = F.least(F.lit(self._limit), n)
+        return self._matched().agg(F.greatest(F.lit(0), n).cast("long").alias("n"))
+
+    def count(self) -> int:
+        return self.counted().first()["n"]
+
+    def positions(self, column: str = "pos") -> DataFrame:
+        """``rows()`` in their order with their number, from 1. No limit or offset."""
+        if self._limit is not None or self._offset:
+            raise InvalidOptions("positions() of a part of the rows")
+        return numbered(self.rows(), self._sort(), column)
 
     # ---- lowering
 
@@ -130,47 +156,41 @@ class Query:
             t.check()
 
     def _matched(self) -> DataFrame:
-        cond = [*self.filters]
-        plan = self.plan() if self.lowering == "index" else Plan(residual=tuple(self.terms))
-        pk = list(self.bound.space.pk)
-        if plan.kind == "Scan":
-            df, residual = self.bound.rows, self.terms
-        elif plan.kind == "Leaf":
-            df, residual = self._leaf_rows(plan.leaves[0], self.terms, plan.values), plan.residual
-        elif plan.kind == "Intersect":
-            probe, build = (self._hits(m, self.terms) for m in plan.leaves)
-            keys = probe.select(*pk).join(build.select(*pk), pk, "left_semi").distinct()
-            self._meter(build.select(*pk))
-            df, residual = self.bound.rows.join(keys, pk, "left_semi"), plan.residual
-        else:
+        """The matching rows, in no order; columns as the table's."""
+        plan = self._plan()
+        if plan.kind == "Leaf" and plan.values == "cover-value" and self._stored(plan.leaves[0]):
+            df, residual = self._leaf_values(plan.leaves[0], self.terms), plan.residual
+        elif plan.kind == "Union" and all(m.index.cover_value and self._stored(m) for m in plan.leaves):
             parts = []
             for m, g in zip(plan.leaves, plan.groups, strict=True):
                 rest = [t for i, t in enumerate(g) if i not in m.consumed]
-                parts.append(self._leaf_rows(m, g, "row-bytes").where(conjunction(rest)))
-            df = reduce(DataFrame.unionByName, parts).dropDuplicates(pk)
-            if any(m.shape != "IndexSeek" for m in plan.leaves):
-                self._meter(df.select(*pk))
-            residual = plan.residual
+                parts.append(self._leaf_values(m, g).where(conjunction(rest)))
+            df, residual = reduce(DataFrame.unionByName, parts).dropDuplicates(list(self.bound.space.pk)), plan.residual
+        else:
+            df, residual = self.bound.rows, self.terms
         if residual:
             df = df.where(conjunction(residual))
-        for c in cond:
+        for c in self.filters:
             df = df.where(c)
         return df
 
+    def _plan(self) -> Plan:
+        return self.plan() if self.lowering == "index" else Plan(residual=tuple(self.terms))
+
+    def _stored(self, m: Leaf) -> bool:
+        return m.index.name in self.bound.entries
+
     def _hits(self, m: Leaf, terms) -> DataFrame:
         """The entries a leaf reads."""
-        df = entries(self.bound, m.index)
+        df = self.bound.entries[m.index.name] if self._stored(m) else collapsed(self.bound, m.index)
         for i in m.consumed:
             t = terms[i]
             df = df.where(t.on(t.column.encoder.apply(F.col(key_name(t.column)))))
         return df
 
-    def _leaf_rows(self, m: Leaf, terms, values: str) -> DataFrame:
-        pk, hits = list(self.bound.space.pk), self._hits(m, terms)
-        if values == "cover-value":
-            rows = hits.select(f"{VALUE}.*")
-            return rows.dropDuplicates(pk) if m.dedup else rows
-        return self.bound.rows.join(hits.select(*pk).distinct(), pk, "left_semi")
+    def _leaf_values(self, m: Leaf, terms) -> DataFrame:
+        rows = self._hits(m, terms).select(f"{VALUE}.*")
+        return rows.dropDuplicates(list(self.bound.space.pk)) if m.dedup else rows
 
     def _from_entries(self, plan: Plan) -> DataFrame:
         """Index-only: rows aren't read."""
@@ -196,13 +216,14 @@ class Query:
             hits = hits.orderBy(*self.bound.by_pk())
         return hits.select(*pk, *[F.col(f"`{held[c.name]}`").alias(c.name) for c in self.selected if c.name not in pk])
 
+    def _sort(self) -> list[SparkColumn]:
+        """The keys; ties by primary key in the last key's direction. Without keys, the primary key."""
+        return [*[k.sort() for k in self.order], *self.bound.by_pk(bool(self.order) and self.order[-1].descending)]
+
     def _ordered(self, df: DataFrame) -> DataFrame:
-        """By the keys; ties by primary key in the last key's direction. With a bound but no keys, by primary key."""
-        if self.order:
-            self._meter(df, self._limit)
-            return df.orderBy(*[k.sort() for k in self.order], *self.bound.by_pk(self.order[-1].descending))
-        if self._limit is not None or self._offset:
-            return df.orderBy(*self.bound.by_pk())
+        self._meter()
+        if self.order or self._limit is not None or self._offset:
+            return df.orderBy(*self._sort())
         return df
 
     def _bounded(self, df: DataFrame) -> DataFrame:
@@ -212,17 +233,41 @@ class Query:
             df = df.offset(self._offset)
         return df if self._limit is None else df.limit(self._limit)
 
-    def _meter(self, df: DataFrame, limit: int | None = None) -> None:
-        """Raise if the rows held take more than the budget; they are never cut."""
+    def _held(self, order: bool) -> list[DataFrame]:
+        """What the plan's nodes hold: keys of hash unions, of a leaf whose rows may come twice and of an intersection's build side; sorted rows."""
+        plan, pk, out = self._plan(), list(self.bound.space.pk), []
+        if plan.kind == "Intersect":
+            out.append(self._hits(plan.leaves[1], self.terms).select(*pk))
+        elif plan.kind == "Union":
+            for m, g in zip(plan.leaves, plan.groups, strict=True):
+                if m.dedup:
+                    out.append(self._hits(m, g).select(*pk).distinct())
+            if any(m.shape != "IndexSeek" for m in plan.leaves):
+                out.append(reduce(DataFrame.unionByName, [self._hits(m, g).select(*pk) for m, g in zip(plan.leaves, plan.groups, strict=True)]).distinct())
+        elif plan.kind == "Leaf" and plan.leaves[0].dedup:
+            out.append(self._hits(plan.leaves[0], self.terms).select(*pk).distinct())
+        if order and self.order and not plan.streamed:
+            df = self._matched()
+            out.append(df if self._limit is None else df.orderBy(*self._sort()).limit(self._limit + self._offset))
+        return out
+
+    def _meter(self, order: bool = True) -> None:
+        """Raise if all that the query's nodes hold together takes more than the budget; nothing is ever cut."""
         if self.budget <= 0 or (self._limit is not None and self._limit <= 0):
             return
-        size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
-        got = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
-        held = got["bytes"]
-        if limit is not None and got["n"]:
-            held = held * min(got["n"], limit + self._offset) / got["n"]
+        sizes = [df.select(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))).alias("n")) for df in self._held(order)]
+        if not sizes:
+            return
+        held = reduce(DataFrame.unionByName, sizes).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         if held > self.budget:
-            raise MaterializeLimit(f"{held:.0f} bytes, {self.budget} allowed")
+            raise MaterializeLimit(f"{held} bytes, {self.budget} allowed")
+
+
+def _pandas_condition(fn: Callable) -> Callable:
+    def holds(rows: pd.DataFrame) -> pd.Series:
+        return fn(rows).astype(bool)
+
+    return F.pandas_udf(holds, "boolean")
 
 
 def value_of(row, column: Column):

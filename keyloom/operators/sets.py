@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NotFound, ValueSizeMismatch
-from ..sources.model import Bound
+from ..sources.model import Bound, Keyspace
 from .write import in_range, require_keys
 
 
@@ -59,7 +61,7 @@ def previous_key(bound: Bound, key) -> DataFrame:
 def put(bound: Bound, new: DataFrame) -> tuple[Bound, DataFrame]:
     """Add members; the pairs that weren't there before. Members of a fixed-size set must have that size."""
     k, m = bound.space.key, bound.space.member
-    require_keys(Bound(type("Key", (), {"pk": (k,), "name": bound.space.name}), bound.rows, {}), new)
+    require_keys(Bound(Keyspace(bound.space.name, k), bound.rows, {}), new)
     size = bound.space.fixed_size
     if size is not None and not new.where(F.octet_length(F.col(m).cast("binary")) != size).isEmpty():
         raise ValueSizeMismatch(bound.space.name)
@@ -83,8 +85,28 @@ def delete_values(bound: Bound, pairs: DataFrame) -> Bound:
     return Bound(bound.space, bound.rows.join(pairs.select(*pk).distinct(), pk, "left_anti").select(*pk), {})
 
 
-def delete_range(bound: Bound, start=None, end=None) -> tuple[Bound, int]:
-    """Remove the sets of keys in [start, end); how many members went."""
+def delete_range(bound: Bound, start=None, end=None) -> tuple[Bound, Callable[[], int]]:
+    """Remove the sets of keys in [start, end); the pairs left, and a function that counts the members that went."""
     gone = in_range(bound.space.key, start, end)
-    n = bound.rows.where(gone).count()
-    return Bound(bound.space, bound.rows.where(~gone), {}), n
+    return Bound(bound.space, bound.rows.where(~gone), {}), lambda: bound.rows.where(gone).count()
+
+
+def matching(bound: Bound, asked: DataFrame) -> DataFrame:
+    """Those of the asked keys that have a set, or (with a member column) those of the asked pairs that are there; each once."""
+    by = [c for c in bound.space.pk if c in asked.columns]
+    return asked.select(*by).distinct().join(bound.rows, by, "left_semi")
+
+
+def scan(bound: Bound) -> DataFrame:
+    """All pairs, members in order inside their key."""
+    return bound.rows.orderBy(*bound.by_pk())
+
+
+def key_range(bound: Bound, start=None, end=None) -> DataFrame:
+    """The pairs of keys in [start, end)."""
+    return bound.rows.where(in_range(bound.space.key, start, end))
+
+
+def seek_value(bound: Bound, key, member) -> DataFrame:
+    """The pair itself, or nothing: never a pair of another key."""
+    return bound.rows.where((F.col(bound.space.key) == F.lit(key)) & (F.col(bound.space.member) == F.lit(member)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from ..errors import BulkLoadNonEmpty, BulkLoadOutOfOrder, KeyEmpty, KeyExists, NotFound
 from ..functions.columns import Column
 from ..sources.model import Bound
-from .index import require_unique
+from .index import require_unique, require_unique_added
+from .numbering import beside, numbered
 
 
 def _keys(bound: Bound) -> list[str]:
@@ -38,19 +41,19 @@ def last_of(bound: Bound, rows: DataFrame, sequence: str | None) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", sequence)
 
 
-def _with(bound: Bound, rows: DataFrame) -> Bound:
-    out = Bound(bound.space, rows, {})
+def _with(bound: Bound, kept: DataFrame, new: DataFrame) -> Bound:
+    """``kept`` rows and ``new`` ones. Of unique indexes only the new rows' keys are looked at."""
     for i in bound.space.indexes:
         if i.unique:
-            require_unique(out, i)
-    return out
+            require_unique_added(Bound(bound.space, kept, {}), i, new)
+    return Bound(bound.space, kept.unionByName(new), {})
 
 
 def put(bound: Bound, new: DataFrame, sequence: str | None = None) -> Bound:
     """Upsert."""
     require_keys(bound, new)
     new = last_of(bound, new, sequence).select(*bound.rows.columns)
-    return _with(bound, bound.rows.join(new, _keys(bound), "left_anti").select(*bound.rows.columns).unionByName(new))
+    return _with(bound, bound.rows.join(new, _keys(bound), "left_anti").select(*bound.rows.columns), new)
 
 
 def insert(bound: Bound, new: DataFrame) -> Bound:
@@ -59,7 +62,7 @@ def insert(bound: Bound, new: DataFrame) -> Bound:
     new = last_of(bound, new, None)
     if not new.join(bound.rows, _keys(bound), "left_semi").isEmpty():
         raise KeyExists(bound.space.name)
-    return _with(bound, bound.rows.unionByName(new))
+    return _with(bound, bound.rows, new)
 
 
 def replace(bound: Bound, new: DataFrame) -> Bound:
@@ -88,18 +91,17 @@ def in_range(column: str, start=None, end=None) -> SparkColumn:
     return out
 
 
-def _remove(bound: Bound, gone: SparkColumn) -> tuple[Bound, int]:
-    n = bound.rows.where(gone).count()
-    return Bound(bound.space, bound.rows.where(~gone), {}), n
+def _remove(bound: Bound, gone: SparkColumn) -> tuple[Bound, Callable[[], int]]:
+    return Bound(bound.space, bound.rows.where(~gone), {}), lambda: bound.rows.where(gone).count()
 
 
-def delete_range(bound: Bound, start=None, end=None) -> tuple[Bound, int]:
-    """Remove keys in [start, end) of the first key column; how many rows went."""
+def delete_range(bound: Bound, start=None, end=None) -> tuple[Bound, Callable[[], int]]:
+    """Remove keys in [start, end) of the first key column; the rows left, and a function that counts those that went."""
     return _remove(bound, in_range(bound.space.pk[0], start, end))
 
 
-def delete_prefix(bound: Bound, prefix=None) -> tuple[Bound, int]:
-    """Remove keys that start with the prefix; none or an empty one removes all."""
+def delete_prefix(bound: Bound, prefix=None) -> tuple[Bound, Callable[[], int]]:
+    """Remove keys that start with the prefix; none or an empty one removes all. Counted as in ``delete_range``."""
     return _remove(bound, F.startswith(F.col(bound.space.pk[0]), F.lit(prefix)) if prefix else F.lit(True))
 
 
@@ -114,29 +116,24 @@ def bulk_load(bound: Bound, rows: DataFrame, sequence: str | None = None) -> Bou
     if sequence is not None:
         _require_ascending(bound, rows, sequence)
         rows = rows.drop(sequence)
-    return _with(bound, rows)
+    out = Bound(bound.space, rows, {})
+    for i in bound.space.indexes:
+        if i.unique:
+            require_unique(out, i)
+    return out
 
 
 def _require_ascending(bound: Bound, rows: DataFrame, sequence: str) -> None:
-    """Sorted by sequence in range partitions, each key must be above the one before; only the edges of partitions meet in one place."""
-    pk = F.struct(*_keys(bound))
-    ranged = rows.select(F.col(sequence).alias("s"), pk.alias("k")).repartitionByRange("s").withColumn("p", F.spark_partition_id())
-    w = Window.partitionBy("p").orderBy("s")
-    inside = ranged.withColumn("before", F.lag("k").over(w)).where(F.col("before") >= F.col("k"))
-    edges = ranged.groupBy("p").agg(F.min("s").alias("s"), F.min_by("k", "s").alias("first"), F.max_by("k", "s").alias("last"))
-    across = edges.withColumn("before", F.lag("last").over(Window.orderBy("s"))).where(F.col("before") >= F.col("first"))
-    if not inside.isEmpty() or not across.isEmpty():
+    """In order of the sequence each key must be above the one before."""
+    keys = rows.select(F.col(sequence).alias("s"), F.struct(*_keys(bound)).alias("k"))
+    got = beside(keys, [F.col("s")], F.col("k"), "after", "before")
+    if not got.where(F.col("before") >= F.col("k")).isEmpty():
         raise BulkLoadOutOfOrder(bound.space.name)
 
 
 def next_sequences(rows: DataFrame, last: int, column: str = "seq", order: list[str] | None = None) -> DataFrame:
     """Number rows last+1, last+2, ... in the given order; partitions are numbered side by side."""
-    by = order or rows.columns[:1]
-    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    first = counts.withColumn("_f", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_f")
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*by))
-    return ranged.join(first, "_p").withColumn(column, F.lit(last) + F.col("_f") + within).drop("_p", "_f")
+    return numbered(rows, [F.col(c) for c in order or rows.columns[:1]], column, last + 1)
 
 
 __all__ = [

@@ -17,6 +17,15 @@ from ..functions.encoders import RESERVED
 ORDERED = (T.StringType, T.BinaryType, T.IntegralType, T.DecimalType, T.TimestampType, T.TimestampNTZType, T.DateType, T.FractionalType)
 
 
+def _ordered(kind: T.DataType, nested: bool) -> bool:
+    """Whether values can be compared; ``nested``: structs and arrays of such values too."""
+    if nested and isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType, True) for f in kind.fields)
+    if nested and isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType, True)
+    return isinstance(kind, (*ORDERED, T.BooleanType) if nested else ORDERED)
+
+
 @dataclass(frozen=True)
 class ColumnIndex:
     """An index over columns: one entry for each row, or for each combination of its multi columns' values.
@@ -87,12 +96,15 @@ class Keyspace:
                 return i
         raise IndexNotFound(name)
 
-    def bind(self, rows: DataFrame, entries: dict[str, DataFrame] | None = None) -> Bound:
-        for c in self.pk:
+    def _require(self, rows: DataFrame, keys: tuple[str, ...], members: tuple[str, ...] = ()) -> None:
+        for c in (*keys, *members):
             if c not in rows.columns:
                 raise InvalidOptions(f"{self.name}: no column {c}")
-            if not isinstance(rows.schema[c].dataType, ORDERED):
+            if not _ordered(rows.schema[c].dataType, c in members):
                 raise InvalidOptions(f"{self.name}: {c} can't be a key")
+
+    def bind(self, rows: DataFrame, entries: dict[str, DataFrame] | None = None) -> Bound:
+        self._require(rows, self.pk)
         return Bound(self, rows, dict(entries or {}))
 
     def read(self, spark: SparkSession, path: str) -> Bound:
@@ -122,8 +134,15 @@ class SetKeyspace(Keyspace):
             raise IndexDeclaration(f"{self.name}: an index of a set keyspace can't cover")
 
     def bind(self, rows: DataFrame, entries: dict[str, DataFrame] | None = None) -> Bound:
+        """Pairs are distinct; a member may be of any type that can be compared, structs too."""
+        self._require(rows, self.pk[:1], self.pk[1:])
         return Bound(self, rows.select(*self.pk).dropDuplicates(list(self.pk)), dict(entries or {}))
 
+    def bind_distinct(self, rows: DataFrame, entries: dict[str, DataFrame] | None = None) -> Bound:
+        """As ``bind``, for pairs that are known to be distinct."""
+        self._require(rows, self.pk[:1], self.pk[1:])
+        return Bound(self, rows.select(*self.pk), dict(entries or {}))
+
 
 @dataclass(frozen=True)
 class Bound:

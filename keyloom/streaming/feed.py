@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.write import put
 from ..sources.model import Keyspace
 from ..sources.store import Store
 
@@ -13,7 +13,7 @@ from ..sources.store import Store
 def feed(store: Store, space: str | None = None) -> DataFrame:
     """A stream of published versions, of one keyspace's changes if it is named."""
     changes = store.changes()
-    return changes if space is None else changes.where(f"array_contains(changed, '{space}')")
+    return changes if space is None else changes.where(F.array_contains("changed", F.lit(space)))
 
 
 def apply_stream(store: Store, space: Keyspace, rows: DataFrame, checkpoint: str, sequence: str | None = None) -> StreamingQuery:
@@ -21,6 +21,6 @@ def apply_stream(store: Store, space: Keyspace, rows: DataFrame, checkpoint: str
 
     def work(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.update(lambda tx: tx.write(put(tx.open(space), batch, sequence)))
+            store.update(lambda tx: tx.put(space, batch, sequence))
 
     return rows.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
