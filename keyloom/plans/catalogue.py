@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.columns import Column, MultiColumn, or_
 from ..functions.encoders import FLOAT32
@@ -182,9 +181,7 @@ def slice_rows(spark, d) -> DataFrame:
 
 @query("select p_partkey, p_brand, p_size, row_number() over (order by p_brand, p_size desc, p_partkey desc)::bigint as pos from part")
 def order_mixed_pos(spark, d) -> DataFrame:
-    q = Query(bound(spark, d, PART)).select(brand, size).order_by(brand.asc(), size.desc())
-    w = Window.orderBy(*[k.sort() for k in q.order], *q.bound.by_pk(True))
-    return q.rows().withColumn("pos", F.row_number().over(w).cast("long"))
+    return Query(bound(spark, d, PART)).select(brand, size).order_by(brand.asc(), size.desc()).positions()
 
 
 @query("select o_orderkey from orders where o_orderstatus = 'F' order by o_orderkey offset 100")
@@ -194,8 +191,7 @@ def offset_only(spark, d) -> DataFrame:
 
 @query("select greatest(0, least(10, (select count(*) from orders where o_orderstatus = 'P') - 4))::bigint as n")
 def count_formula(spark, d) -> DataFrame:
-    q = Query(orders(spark, d)).where(status.eq("P")).offset(4).limit(10)
-    return q._matched().agg(F.greatest(F.lit(0), F.least(F.lit(10), F.count("*") - 4)).cast("long").alias("n"))
+    return Query(orders(spark, d)).where(status.eq("P")).offset(4).limit(10).counted()
 
 
 @query("select * from orders limit 0")
@@ -268,7 +264,7 @@ def index_prefix(spark, d) -> DataFrame:
 
 @query("select * from customer where c_name = 'Customer#000000042'")
 def index_get(spark, d) -> DataFrame:
-    return IndexReader(bound(spark, d, CUSTOMER), "by_custname").lookup("Customer#000000042")
+    return IndexReader(bound(spark, d, CUSTOMER), "by_custname").find("Customer#000000042")
 
 
 @query("select 'x' as code, 'x' as subject, 0::bigint as n where false")
