@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -15,10 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from ..sources.scratch import discard, fresh_path
+
 #: Words of the output contracts: everything but ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
-_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -30,7 +29,7 @@ def ship(spark: SparkSession) -> None:
     top = Path(__file__).resolve().parents[1]
     path = Path(tempfile.mkdtemp(prefix="keyloom-")) / "keyloom-package.zip"
     with zipfile.ZipFile(path, "w") as z:
-        for f in [top / "__init__.py", *sorted((top / "llm").glob("*.py"))]:
+        for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
@@ -47,40 +46,25 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _roots:
-        base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        base = base or "file://" + tempfile.mkdtemp(prefix="keyloom-")
-        _roots[sc.applicationId] = f"{base.rstrip('/')}/keyloom-{uuid.uuid4().hex}"
-        atexit.register(discard, spark, _roots[sc.applicationId])
-    return _roots[sc.applicationId]
-
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
+    ship(df.sparkSession)
+    return scratch.materialize(df, name)
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
+#: A key that is met by more than 1 in HOT rows is hot.
+HOT = 1000
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    ship(spark)
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._keyloom_path = path
-    return out
 
+def with_counted(rows: DataFrame, groups: DataFrame, keys: list[str], hot: int | None = None) -> DataFrame:
+    """``rows`` joined on ``keys`` with ``groups``, a row for each key with the number ``n`` of rows that it will meet.
 
-def discard(spark: SparkSession, *where) -> None:
-    """Delete materialised frames (or paths) that nothing reads any more."""
-    for w in where:
-        path = getattr(w, "_keyloom_path", w)
-        if isinstance(path, str):
-            with contextlib.suppress(Exception):
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    Hot keys, ``HOT`` of them at most, are broadcast, so none gathers its rows in one task; the others are joined by a shuffle.
+    """
+    share, total = hot or HOT, rows.count()
+    often = F.broadcast(groups.where(F.col("n") * share > total))
+    spread = rows.join(often.select(*keys), keys, "left_anti").join(groups.where(F.col("n") * share <= total), keys)
+    return rows.join(often, keys).unionByName(spread)
 
 
 def fold_of(col, n: int):
@@ -147,3 +131,8 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     offs = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offs[1:])
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values, kind))
+
+
+__all__ = [
+    "HOT", "WORD_RE", "discard", "fold_of", "fresh_path", "in_sample", "list_array", "map_arrow", "materialize", "sampled_labels", "ship", "table", "text_lists", "text_parts", "with_counted",
+]

@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import discard, map_arrow, materialize, text_parts
+from .common import discard, map_arrow, materialize, text_parts, with_counted
 
 MIN_WORDS = 10
-HOT = 1000
 _ALONE = 1 << 62
 
 
@@ -86,14 +85,6 @@ def lines_of(docs: DataFrame, texts: bool = False, min_words: int = MIN_WORDS) -
     return materialize(map_arrow(rows, _line_rows(texts, min_words), kind + ", text string" * texts), "lines")
 
 
-def with_counted(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` joined on ``keys`` with ``groups``, a row for each key with the number ``n`` of rows it will meet."""
-    total = rows.count()
-    hot = groups.where(F.col("n") * HOT > total)  # HOT of them at most
-    spread = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col("n") * HOT <= total), keys)
-    return rows.join(F.broadcast(hot), keys).unionByName(spread)
-
-
 def numbered(pairs: DataFrame) -> DataFrame:
     """(x, y, n) distinct pairs to (x, y, n, rank): 1 plus the number of suffixes of smaller pairs."""
     spark = pairs.sparkSession

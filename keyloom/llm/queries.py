@@ -53,9 +53,8 @@ def op7_token_io(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mixing.with_copies(table(spark, sf_dir, "documents"))
-    taken = F.col("mix.size") * F.col("mix.copies")
-    return got.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"))
+    got = mixing.taken(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +100,14 @@ ORACLE_SQL = {
         ),
         k as (select min(pos) as pos, min_by(share, pos) as share from o where share * w <= {mixing.MOST} * source_size),
         t as (select o.source, o.source_size, coalesce(case when o.pos >= k.pos then k.share * o.w else ({mixing.MOST} * o.source_size)::double end, 0) as target from o, k),
-        r as (
-            select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then least(t.target / t.source_size, {mixing.MOST}.0::double) else 0 end as rate,
-                ('0x' || substr(md5('{mixing.SEED}|' || d.doc_id), 1, 13))::bigint::double / {float(1 << 52)}::double as u
-            from d join t on d.source is not distinct from t.source
-        )
-        select doc_id, size, source_size, target, size * (floor(rate)::bigint + case when u < rate - floor(rate) then 1 else 0 end) as taken from r""",
+        r as (select *, case when source_size > 0 then least(target / source_size, {mixing.MOST}.0::double) else 0 end as rate from t),
+        u as (
+            select d.doc_id, d.size, r.source, r.source_size, r.target, floor(r.rate)::bigint as whole, r.target - floor(r.rate)::bigint * r.source_size as wanted,
+                ('0x' || substr(md5('{mixing.SEED}|' || d.doc_id), 1, 6))::bigint as n
+            from d join r on d.source is not distinct from r.source
+        ),
+        v as (select source, n, sum(size) as words, any_value(wanted) as wanted, sum(sum(size)) over (partition by source order by n) as up_to from u group by source, n),
+        c as (select source, case when wanted - (up_to - words) <= up_to - wanted then n else n + 1 end as threshold from v where up_to - words <= wanted and wanted < up_to)
+        select doc_id, size, source_size, target, size * (whole + case when n < coalesce(threshold, 0) then 1 else 0 end) as taken
+        from u left join c on u.source is not distinct from c.source""",
 }

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, html_extract, langid, licenses, line_dedup, mixing, quality, queries, superminhash, token_io, toxicity
+from keyloom.llm import common, decontaminate, html_extract, langid, licenses, line_dedup, mixing, quality, queries, superminhash, token_io, toxicity
 from keyloom.llm import textvec as tv
 from keyloom.llm.common import text_parts
 from keyloom.llm.components import components
@@ -168,9 +168,9 @@ def test_quality(docs, labels):
     assert quality.score(docs.limit(0), labels).count() == 0 and quality.score(docs, labels.limit(0)).count() == docs.count()
 
 
-def test_mixing(docs):
-    got = [(r.row.doc_id, r.row.source, r.mix) for r in mixing.with_copies(docs).collect()]
-    size = {s: m.source_size for _, s, m in got}
+def test_mixing(docs, monkeypatch):
+    got = mixing.taken(docs).join(docs.select("doc_id", "source").distinct(), "doc_id", "left").collect()
+    size = {r.source: r.source_size for r in got}
     order = sorted((s for s in size if s is not None)) + [None]
     total, weight, target, open_ = sum(size.values()), {s: k % 3 + 1 for k, s in enumerate(order)}, {}, set(order)
     while True:
@@ -183,10 +183,31 @@ def test_mixing(docs):
             open_.discard(s)
     share = (total - sum(target.values())) / sum(weight[x] for x in open_)
     target |= {s: share * weight[s] for s in open_}
-    assert all(m.target == pytest.approx(target[s]) and m.copies <= 3 for _, s, m in got)
-    assert len({m.copies for i, _, m in got if i == 904}) == 1
-    assert mixing.mixed(docs).count() == sum(m.copies for _, _, m in got) and mixing.mixed(docs).columns == docs.columns
-    assert mixing.with_copies(docs.limit(0)).count() == 0
+    assert all(r.target == pytest.approx(target[r.source]) and r.copies <= 3 for r in got)
+    assert len({r.copies for r in got if r.doc_id == 904}) == 1
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    copies = collections.Counter(r.doc_id for r in mixed.select("doc_id").collect())
+    assert copies == collections.Counter({i: sum(r.copies for r in got if r.doc_id == i) for i in {r.doc_id for r in got}})
+    assert mixing.taken(docs.limit(0)).count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    for hot in (1, 1000):
+        monkeypatch.setattr(common, "HOT", hot)
+        assert collections.Counter(r.doc_id for r in mixing.mixed(docs).select("doc_id").collect()) == copies
+
+
+def test_mixing_comes_near_its_targets(spark):
+    """Also where a source has few texts, one of them long."""
+    d = "/root/testdata/sf0.01"
+    got = queries.op8_mixing(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source"), "doc_id")
+    by = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("largest")).collect()
+    assert len(by) > 5 and all(abs(r.taken - r.target) <= max(0.1 * r.target, r.largest) for r in by)
+    assert sum(abs(r.taken - r.target) for r in by) < 0.02 * sum(r.target for r in by)
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.choice([1, 10, 10_000], p=[0.5, 0.45, 0.05])), f"s{i % 7}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("size").alias("largest")).collect()
+    assert all(abs(r.taken - r.target) <= r.largest for r in got)
 
 
 def test_tokens(spark, docs, tmp_path):
@@ -274,7 +295,7 @@ def test_lines_of_repeated_rows_and_hot_lines(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("uid", "line", "h", "n", "rank", "gone", "size", "head", "tail", "on")})
     want = [(1, 3, 0), (1, 3, 3), (2, 4, 3), (3, 1, 0), (4, 1, 0), (None, 3, 3)]
     for hot in (1, 1000):
-        monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(common, "HOT", hot)
         assert sorted(((r.doc_id, r.n_lines, r.n_removed) for r in line_dedup.digest(df).collect()), key=str) == sorted(want, key=str)
 
 
