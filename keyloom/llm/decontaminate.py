@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -135,7 +135,7 @@ def _known() -> tuple[np.ndarray, ...]:
     return tuple(np.sort(hash_words(list(words))) for words in (UNITS, NUMBERS, ORDINALS))
 
 
-_FIELDS = "key long, at int, size int, exact boolean, word int, h long, fill array<long>"
+_FIELDS = "at int, size int, exact boolean, word int, h long, fill array<long>"
 
 
 def _window_rows(sizes: list[tuple[bool, int]] | None, bitmap: np.ndarray | None):
@@ -180,41 +180,58 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """One row for each document and benchmark item found in it: doc_id, item_id, n_windows, item_windows, coverage, first_word, kind.
-
-    n_windows counts the item's windows found (of templates, or of words as they stand where their share is larger), first_word is where the first
-    begins (words from 0), kind is ``verbatim`` if all fillers are the item's own, else ``reparameterised``. An item shorter than a window is found by
-    the whole of it, be it one word. Null ids, null or empty texts and texts without a letter or digit match nothing; repeated documents are found
-    once; other columns are ignored; an empty table on either side gives an empty result.
-    """
+def _found(rows: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
+    """key, item_id and the columns of ``find`` for the items found in the texts of ``rows`` (key, text)."""
+    kind = rows.schema["key"].dataType.simpleString()
     items = benchmark.select(F.col("item_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).where("key is not null and text is not null")
-    wanted = materialize(map_arrow(items, _window_rows(None, None), _FIELDS), "benchmark-windows")
+    wanted = materialize(map_arrow(items, _window_rows(None, None), f"key long, {_FIELDS}"), "benchmark-windows")
     sizes = sorted((r["exact"], r["size"]) for r in wanted.select("exact", "size").distinct().toArrow().to_pylist())  # 2 * WINDOW at most
     totals = wanted.groupBy("key", "exact").agg(F.countDistinct("at").cast("long").alias("item_windows")).withColumnRenamed("key", "item_id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).where("key is not null and text is not null")
-    have = map_arrow(rows, _window_rows(sizes or [(True, WINDOW)], _bitmap(wanted)), _FIELDS)
-    a, b = have.toDF("doc_id", "at", "size", "exact", "word", "h", "fill"), wanted.toDF("item_id", "item_at", "item_size", "item_exact", "item_word", "item_h", "item_fill")
+    rows = rows.where("key is not null and text is not null")
+    have = map_arrow(rows, _window_rows(sizes or [(True, WINDOW)], _bitmap(wanted)), f"key {kind}, {_FIELDS}")
+    a, b = have, wanted.toDF("item_id", "item_at", "item_size", "item_exact", "item_word", "item_h", "item_fill")
     hits = a.join(b, (a["h"] == b["item_h"]) & (a["size"] == b["item_size"]) & (a["exact"] == b["item_exact"]) & (F.size("fill") == F.size("item_fill")))
     # windows of one alignment belong together
-    hits = hits.select("doc_id", "item_id", "exact", (F.col("at") - F.col("item_at")).alias("shift"), "word", "item_at", F.arrays_zip(F.col("item_fill").alias("x"), F.col("fill").alias("y")).alias("pairs"))
+    hits = hits.select("key", "item_id", "exact", (F.col("at") - F.col("item_at")).alias("shift"), "word", "item_at", F.arrays_zip(F.col("item_fill").alias("x"), F.col("fill").alias("y")).alias("pairs"))
     hits = hits.withColumn("pairs", F.filter("pairs", lambda p: (p["x"] != 0) & (p["y"] != 0)))
-    one = hits.groupBy("doc_id", "item_id", "exact", "shift").agg(
+    one = hits.groupBy("key", "item_id", "exact", "shift").agg(
         F.collect_set("item_at").alias("found"), F.min("word").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
     )  # a row's lists are bounded by its item's length
-    one = one.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["x"]))) == F.size("pairs"))
-    one = one.withColumn("same", F.forall("pairs", lambda p: p["x"] == p["y"]))
-    both = one.groupBy("doc_id", "item_id", "exact").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("found")))).cast("long").alias("n_windows"), F.min("first_word").cast("long").alias("first_word"), F.min("same").alias("same")
+
+    def consistent(pairs: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(pairs, lambda p: p["x"]))) == F.size(pairs)
+
+    one = one.where(consistent(F.col("pairs"))).withColumn("same", F.forall("pairs", lambda p: p["x"] == p["y"]))
+    # alignments beside one another (a word more or less between them) count together if their fillers agree, else the one with most windows does
+    best = F.max_by(F.struct("found", "first_word", "same"), F.struct(F.size("found"), -F.col("first_word"))).alias("best")
+    both = one.groupBy("key", "item_id", "exact").agg(
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), F.min("first_word").alias("first_word"), F.min("same").alias("same"), best
     )
+    whole = F.struct("found", "first_word", "same")
+    both = both.withColumn("of", F.when(consistent(F.col("pairs")), whole).otherwise(F.col("best")))
+    both = both.select("key", "item_id", "exact", F.size("of.found").cast("long").alias("n_windows"), F.col("of.first_word").cast("long").alias("first_word"), F.col("of.same").alias("same"))
     out = both.join(totals, ["item_id", "exact"]).withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
     best = F.max_by(F.struct("n_windows", "item_windows", "coverage", "first_word"), F.struct("coverage", ~F.col("exact"))).alias("best")
-    out = out.groupBy("doc_id", "item_id").agg(best, F.min("same").alias("same"))
+    out = out.groupBy("key", "item_id").agg(best, F.min("same").alias("same"))
     kind = F.when(F.col("same"), "verbatim").otherwise("reparameterised")
-    return out.select("doc_id", "item_id", "best.n_windows", "best.item_windows", "best.coverage", "best.first_word", kind.alias("kind"))
+    return out.select("key", "item_id", "best.n_windows", "best.item_windows", "best.coverage", "best.first_word", kind.alias("kind"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """One row for each document and benchmark item found in it: doc_id, item_id, n_windows, item_windows, coverage, first_word, kind.
+
+    n_windows counts the item's windows found (of templates, or of words as they stand where their share is larger), first_word is where the first
+    begins (words from 0), kind is ``verbatim`` if all fillers are the item's own, else ``reparameterised``. A filler of the item
+    has one filler in the document, or the alignment is no copy; windows of several alignments add up if their fillers agree. An item shorter than a window is found by
+    the whole of it, be it one word. Null ids, null or empty texts and texts without a letter or digit match nothing; repeated documents are found
+    once; other columns are ignored; an empty table on either side gives an empty result.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    return _found(rows, benchmark, coverage).withColumnRenamed("key", "doc_id")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item is found."""
-    bad = find(docs, benchmark, coverage).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, in whose text no benchmark item is found, whatever their id."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("_mark", F.md5(F.col("row.text").cast("string")))
+    bad = _found(rows.select(F.col("_mark").alias("key"), F.col("row.text").cast("string").alias("text")), benchmark, coverage).select(F.col("key").alias("_mark")).distinct()
+    return rows.join(bad, "_mark", "left_anti").select("row.*")

@@ -86,7 +86,7 @@ def _id_bit(ids: np.ndarray) -> np.ndarray:
 
 
 def set_rows(k: int, bands: int = 0, rows: int = 0, full: bool = False, bitmap: np.ndarray | None = None):
-    """A function for mapInArrow from (doc_id, text) to the texts' sets: size, class keys, band hashes or members."""
+    """A function for mapInArrow from (doc_id, text, mark) to the texts' sets: size, class keys, mark, band hashes or members."""
 
     def go(batches):
         for batch in batches:
@@ -107,6 +107,9 @@ def set_rows(k: int, bands: int = 0, rows: int = 0, full: bool = False, bitmap:
                     k2[some] = np.add.reduceat(tv.mix(h ^ U(0x5851F42D4C957F2D)), first)
                 out = [ids.slice(at, nd), pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
                 names = ["doc_id", "n_shingles", "k1", "k2"]
+                if batch.num_columns > 2:
+                    out.append(batch.column(2).slice(at, nd))
+                    names.append("mark")
                 if bands:
                     sig = signatures(h, d, nd, bands * rows).reshape(nd, bands, rows)
                     acc = np.broadcast_to(np.arange(1, bands + 1, dtype=U), (nd, bands)).copy()
@@ -139,8 +142,8 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored).
+def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int | None = None, marked: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (``marked``: also mark, the text's md5, and comp, its component) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Links texts whose sets of k-word shingles have ``100 * intersection >= percent * union``, each
     confirmed on the full sets; ``component_id`` is the smallest doc_id reachable. Texts without words and
@@ -152,7 +155,8 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
     rows = rows or rows_for(percent)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     head = "doc_id long, n_shingles long, k1 long, k2 long"
-    made = materialize(map_arrow(base, set_rows(k, bands, rows), head + ", bands array<long>"), "sets")
+    told = base.withColumn("mark", F.md5("text")) if marked else base
+    made = materialize(map_arrow(told, set_rows(k, bands, rows), head + ", mark string" * marked + ", bands array<long>"), "sets")
     usable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     # a class: all rows of one set. Its key is a 64-bit hash of both sums and the size.
     key = F.xxhash64("k1", "k2", "n_shingles").alias("cls")
@@ -245,17 +249,31 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
             break
     mine = classes.join(group.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = mine.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = mine.join(least, "comp").select("cls", "component_id")
-    out = made.select("doc_id", "n_shingles", F.when(usable, F.xxhash64("k1", "k2", "n_shingles")).alias("cls")).join(named, "cls", "left")
+    named = mine.join(least, "comp").select("cls", "component_id", "comp")
+    more = ["mark"] if marked else []
+    out = made.select("doc_id", "n_shingles", F.when(usable, F.xxhash64("k1", "k2", "n_shingles")).alias("cls"), *more).join(named, "cls", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+    kept = (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept")
+    return out.select("doc_id", "n_shingles", "component_id", kept, *more, *(["comp"] if marked else []))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all its columns, without the texts that near-duplicate one of smaller doc_id.
+    """The rows of ``docs``, all its columns, one of each group of near-duplicates: that of the smallest doc_id, of several texts under it the one of
+    the smallest md5.
 
-    Of rows that repeat a kept id and text, one stays. Rows with a null doc_id stay.
+    Rows go by id and text together: a text that only shares its id with a duplicate stays. Of rows that repeat a kept id and text, one stays. Rows with a
+    null doc_id stay.
     """
-    gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"]).unionByName(rest.where(F.col("doc_id").isNull()))
+    got = materialize(near_duplicates(docs, k, percent, marked=True).where("doc_id is not null"), "verdicts")
+    # two texts of one id in one component: all but the first go
+    twice = got.where(F.col("kept") & F.col("comp").isNotNull()).groupBy("comp").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first != last")
+    more = got.where("kept").join(twice.select("comp", "first"), "comp").where("mark != first")
+    gone = got.where(~F.col("kept")).unionByName(more.select(*got.columns)).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("_id", F.col("row.doc_id").cast("long")).withColumn("_mark", F.md5(F.col("row.text").cast("string")))
+    rest = rows.join(gone, ["_id", "_mark"], "left_anti")
+    # rows that repeat an id and a text are few, and alone are compared
+    again = got.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.coalesce("mark", F.lit("")).alias("_text"))
+    rest = rest.withColumn("_text", F.coalesce("_mark", F.lit("")))
+    one = rest.join(again, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
+    return rest.join(again, ["_id", "_text"], "left_anti").unionByName(one).select("row.*")

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on nulls, empty and long texts, repeats and empty tables."""
 
 import collections
+import hashlib
 import html
 import itertools
 import re
@@ -107,6 +108,23 @@ def test_near_duplicates(spark, docs):
     assert superminhash.near_duplicates(df.limit(0), 3, 85).count() == 0
 
 
+def test_rows_go_by_id_and_text(spark):
+    """Several texts under one id, repeated rows, null ids and texts, clashing columns: only copies go."""
+    long = " ".join(f"w{j}" for j in range(60))
+    near = long.replace("w30", "other")
+    rows = [(1, long), (5, near), (5, "a text that nobody else has, of some words"), (5, None), (5, None), (5, ""), (6, long), (6, near), (7, near), (None, long), (None, long), (1, near), (1, long), (8, "q r"), (8, "q r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("_id", "_mark", "row", "comp", "mark", "kept", "cls")})
+    kept = superminhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    first = min((long, near), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert got == sorted([(1, first), (5, "a text that nobody else has, of some words"), (5, None), (5, ""), (None, long), (None, long), (8, "q r")], key=str)
+    bench = spark.createDataFrame([(1, long)], "item_id long, text string")
+    clean = decontaminate.clean(df, bench)
+    assert clean.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([r for r in rows if r[1] not in (long, near)], key=str)
+
+
 def test_near_duplicates_of_one_template(spark):
     """A large group around one text, with copies beyond the threshold, shortened ones and ones that share edits."""
     rng = np.random.default_rng(5)
@@ -419,6 +437,16 @@ def test_decontamination_of_few_plain_words(spark):
     assert sorted((r.doc_id, r.item_id, r.kind, r.first_word) for r in got) == [(1, 1, "verbatim", 1), (2, 2, "verbatim", 1), (3, 3, "verbatim", 1), (4, 4, "verbatim", 1), (5, 5, "verbatim", 0)]
 
 
+def test_decontamination_over_alignments(spark):
+    """A word more in the middle makes two alignments: their windows add up, unless their fillers contradict one another."""
+    first, second = "Say Alice has a basket of 12 ripe green apples and walks to the town market", "there Alice sells all but 5 of them to people who pass by on that day"
+    bench = spark.createDataFrame([(1, f"{first} and {second}")], "item_id long, text string")
+    own = lambda t, n: t.replace("Alice", n).replace("12", "40").replace("5", "9")
+    texts = [(1, f"{own(first, 'Carol')} early then and {own(second, 'Carol')}"), (2, f"{own(first, 'Carol')} early then and {own(second, 'Erin')}")]
+    got = {r.doc_id: r for r in decontaminate.find(spark.createDataFrame(texts, "doc_id long, text string"), bench, 0.3).collect()}
+    assert got[1].kind == got[2].kind == "reparameterised" and got[1].n_windows > got[2].n_windows >= 6
+
+
 def test_decontamination_of_copies_with_one_filler_changed(spark):
     item = "We know that Alice has a house near the lake with a garden full of old apple trees and two dogs that sleep in it all day, while at night the dogs run to the hill where Alice keeps 12 sheep and 12 goats"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
