@@ -67,6 +67,18 @@ def with_counted(rows: DataFrame, groups: DataFrame, keys: list[str], hot: int |
     return rows.join(often, keys).unionByName(spread)
 
 
+def with_salted(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """``rows`` (stored) joined on ``key`` with ``other``, a row for each key. A key that more than 1 in ``HOT`` of the rows has is dealt
+    over several tasks, and its row of ``other`` (which may be large) is repeated as often: 2 * HOT times at most, all keys told."""
+    total = rows.count()
+    n = F.count("*")
+    hot = F.broadcast(rows.groupBy(key).agg(n.alias("_n")).where(F.col("_n") * HOT > total).select(key, F.ceil(F.col("_n") * HOT / max(total, 1)).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("_salts")
+    right = other.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def fold_of(col, n: int):
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n
@@ -134,5 +146,5 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
 
 
 __all__ = [
-    "HOT", "WORD_RE", "discard", "fold_of", "fresh_path", "in_sample", "list_array", "map_arrow", "materialize", "sampled_labels", "ship", "table", "text_lists", "text_parts", "with_counted",
+    "HOT", "WORD_RE", "discard", "fold_of", "fresh_path", "in_sample", "list_array", "map_arrow", "materialize", "sampled_labels", "ship", "table", "text_lists", "text_parts", "with_counted", "with_salted",
 ]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import discard, list_array, map_arrow, materialize, text_parts
+from .common import discard, list_array, map_arrow, materialize, text_parts, with_counted, with_salted
 from .components import components
 
 U = np.uint64
@@ -162,11 +162,12 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
     key = F.xxhash64("k1", "k2", "n_shingles").alias("cls")
     classes = materialize(made.where(usable).groupBy(key).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     banded = made.where(usable).select(key, F.col("doc_id").alias("rep"), "bands").join(classes.select("cls", "rep"), ["cls", "rep"], "left_semi")
-    flat = banded.select("cls", F.explode("bands").alias("bucket")).distinct()
-    many = flat.groupBy("bucket").agg(F.count("*").alias("g")).where("g > 1")
+    flat = materialize(banded.select("cls", F.explode("bands").alias("bucket")).distinct(), "bands")
+    many = flat.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     # central: how many classes share its buckets, all told; an unedited original leads those made from it
     central = F.sum("g").over(Window.partitionBy("cls")).alias("c")
-    members = materialize(flat.join(many, "bucket").select("bucket", "cls", "g", central), "buckets")
+    members = materialize(with_counted(flat, many, ["bucket"]).withColumnRenamed("n", "g").select("bucket", "cls", "g", central), "buckets")
+    discard(spark, flat)
 
     needed = members.select("cls").distinct().join(classes, "cls")
     bitmap = _bitmap(needed.select("rep"))
@@ -174,9 +175,11 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
     sets = sets.where(usable).select(key, F.col("doc_id").alias("rep"), "members")
     sets = materialize(sets.join(needed.select("cls", "rep"), ["cls", "rep"], "left_semi").groupBy("cls").agg(F.first("members").alias("members")), "members")
 
+    spent: list[DataFrame] = []
+
     def overlaps(pairs: DataFrame, *more) -> DataFrame:
         """Of pairs (a, b) of classes: both sizes and the size of the intersection."""
-        x = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        x = with_salted(pairs, sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
         size = [F.size(c).cast("long") for c in ("sa", "sb", F.array_intersect("sa", "sb"))]
         return x.select("a", "b", size[0].alias("na"), size[1].alias("nb"), size[2].alias("both"), *more)
 
@@ -190,7 +193,8 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
         """Those of the pairs whose sets are near enough."""
         size = classes.select(F.col("cls"), F.col("n"))
         pairs = pairs.distinct().join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+        pairs = materialize(pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), "pairs")
+        spent.append(pairs)
         return overlaps(pairs).where(near).select("a", "b")
 
     def all_pairs(rows: DataFrame) -> DataFrame:
@@ -203,33 +207,38 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
     # every member of a larger bucket against its most central one
     big = members.where(F.col("g") > SMALL_BUCKET)
     lead = F.min(F.struct(-F.col("c"), F.xxhash64("cls"), F.col("cls"))).alias("x")
-    chosen = big.groupBy("bucket").agg(lead).select("bucket", F.col("x.cls").alias("a"))
-    star = big.join(chosen, "bucket").where("cls != a").select("a", F.col("cls").alias("b")).distinct()
+    chosen = big.groupBy("bucket").agg(lead, F.count("*").alias("n")).select("bucket", F.col("x.cls").alias("a"), "n")
+    star = materialize(with_counted(big, chosen, ["bucket"]).where("cls != a").select("a", F.col("cls").alias("b")).distinct(), "star")
+    spent.append(star)
     stars = materialize(overlaps(star, F.array_except("sb", "sa").alias("added")), "stars")
     small = members.where(F.col("g") <= SMALL_BUCKET).withColumn("of", F.col("cls"))
     links = materialize(confirmed(all_pairs(small)).unionByName(stars.where(near).select("a", "b")), "links")
     group = components(links)
 
     # what is left lies between members that the leader does not join: see the module's text
-    told = stars.join(group.toDF("b", "of"), "b", "left").withColumn("of", F.coalesce("of", "b"))
-    split = told.groupBy("a").agg(F.min("nb").alias("low"), F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
-    told = told.join(split.select("a", "low"), "a").withColumn("low", F.greatest("low", F.expr(f"({percent} * nb + 99) div 100")))
+    of = F.coalesce("of", "b").alias("of")
+    split = stars.select("a", "b", "nb").join(group.toDF("b", "of"), "b", "left").select("a", "nb", of)
+    split = split.groupBy("a").agg(F.min("nb").alias("low"), F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("n")).where("x != y")
+    told = with_counted(stars, split.select("a", "low", "n"), ["a"]).drop("n").join(group.toDF("b", "of"), "b", "left").select("a", "b", "na", "nb", "both", "added", "low", of)
+    told = materialize(told.withColumn("low", F.greatest("low", F.expr(f"({percent} * nb + 99) div 100"))), "told")
     share = F.greatest(least_both("nb", "low") - F.col("both"), F.lit(1))
     prefix = F.slice(F.sort_array("added"), 1, F.greatest(F.size("added") - share + 1, F.lit(0)).cast("int"))
     keyed = told.select("a", F.col("b").alias("cls"), "of", F.col("both").alias("c"), F.explode(prefix).alias("t"))
-    keyed = keyed.withColumn("bucket", F.xxhash64("a", "t")).drop("a", "t")
-    mixed = keyed.groupBy("bucket").agg(F.count("*").alias("g"), F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
-    rest = materialize(keyed.join(mixed.select("bucket", "g"), "bucket"), "rest")
+    keyed = materialize(keyed.withColumn("bucket", F.xxhash64("a", "t")).drop("a", "t"), "keyed")
+    mixed = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
+    rest = materialize(with_counted(keyed, mixed.select("bucket", "n"), ["bucket"]).withColumnRenamed("n", "g"), "rest")
     inside = told.where(~near & (F.col("both") >= least_both("nb", "low"))).select("a", F.col("b").alias("b1"), F.col("nb").alias("n1"), F.col("both").alias("i1"), F.col("of").alias("of1"))
     shorter = told.where("nb < na").select("a", F.col("b").alias("b2"), F.col("nb").alias("n2"), F.col("both").alias("i2"), F.col("of").alias("of2"))
     apart = inside.join(shorter, "a").where((F.col("of1") != F.col("of2")) & (least_both("n1", "n2") <= F.least("i1", "i2")))
     apart = apart.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
     pairs = all_pairs(rest.where(F.col("g") <= SPLIT_BUCKET)).unionByName(apart)
-    rest, leaders, spent = rest.where(F.col("g") > SPLIT_BUCKET).select("bucket", "cls", "c"), 8, [rest, stars]
+    spent += [rest, stars, told, keyed]
+    rest, leaders = materialize(rest.where(F.col("g") > SPLIT_BUCKET).select("bucket", "cls", "c"), "rest"), 8
     while True:
         top = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("c"), F.xxhash64("cls"), "cls"))
-        chosen = rest.withColumn("rn", top).where(F.col("rn") <= leaders).select("bucket", F.col("cls").alias("leader"))
-        star = rest.join(chosen, "bucket").where("cls != leader")
+        chosen = materialize(rest.withColumn("rn", top).where(F.col("rn") <= leaders).select("bucket", F.col("cls").alias("leader")), "leaders")
+        of_bucket = chosen.groupBy("bucket").agg(F.collect_list("leader").alias("all")).join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+        star = with_counted(rest, of_bucket, ["bucket"]).select("bucket", "cls", F.explode("all").alias("leader")).where("cls != leader")
         star = star.join(group.toDF("cls", "gc"), "cls", "left").join(group.toDF("leader", "gl"), "leader", "left")
         star = star.where(F.coalesce("gc", "cls") != F.coalesce("gl", "leader"))
         star = star.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
@@ -244,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
         mixed = labelled.groupBy("bucket").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
         rest, leaders = materialize(labelled.join(mixed, "bucket", "left_semi").select("bucket", "cls", "c"), "rest"), leaders * 8
         discard(spark, *spent)
-        spent = [rest]
+        spent[:] = [rest, chosen]
         if rest.isEmpty():
             break
     mine = classes.join(group.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
