@@ -1,19 +1,23 @@
 """Toxicity: noisy-channel restoration of disguised words, then scoring of the restored text.
 
-*Channel.* Signs that stand for letters (``LEET``), letters repeated three times or more and letters set apart by single
-separators make a lattice: each sign is one of its letters or a word border, each repetition one or two letters, each separator
-nothing or a word border. *Source.* A character model of order 4 over all texts of the corpus (exact counts over 32 symbols, so
+*Channel.* Signs that stand for letters (``LEET``), letters of other scripts that look like Latin ones (``LOOKS``), accents on all vowels of a word, repeated
+letters, letters set apart by separators and words cut by one sign make a lattice: each sign is one of its letters or a word border, each
+look-alike or accented letter itself or its Latin letter, each repetition one or two letters, each separator nothing or a word border; signs without width
+are nothing. *Source.* A character model of order 4 over all texts of the corpus (exact counts over 32 symbols, so
 at most 2**20 of them whatever the corpus). Viterbi decoding finds the likeliest restored word. A text without any such sign has one path,
-itself.
+itself. Doubled letters and single signs inside a word, which plain texts have too, make a lattice only where the model finds them unlikely.
+Words that are cut by one blank are not put together.
 
 *Score.* Words of the restored text whose link with toxic labels passes a likelihood-ratio test (corrected for the number of words
 tried) each count with the lower end of the confidence interval of their toxic share; they are combined by noisy-or over the base rate.
+Capital letters of ASCII and Latin-1 are folded alike in all texts, restored or not.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import map_arrow, sampled_labels, text_parts
+from .common import map_arrow, materialize, sampled_labels, text_parts
 
 #: Labelled documents used for fitting, about: drawn by a threshold on their id hash.
 LABEL_ROWS = 20_000
-MOST_WORDS = 4096
 FLAG = 0.7
 
 # What disguising signs stand for.
@@ -33,8 +36,12 @@ LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou",
 }
+# Letters of other scripts that look like Latin ones.
+LOOKS = dict(zip("абвгдеһіјкмнорѕтухԁѵαβεικνορτυχγ", "abbrdehijkmhopstyxdvabeikvoptuxy", strict=True))
 _FREE = "0134578@$9"  # signs that count next to a letter on either side; the others only before one
-_SUB, _BREAK, _JOIN, _ONCE, _TWICE = -1.0, -1.5, -0.5, -0.3, -0.6
+_SUB, _BREAK, _JOIN, _ONCE, _TWICE, _DOUBLE = -1.0, -1.5, -0.5, -0.3, -0.6, -0.7
+#: Doubled letters are looked at below this log probability; a sign inside a word where the joined word is likelier by so much.
+_RARE, _GAIN = -6.0, 2.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -42,11 +49,29 @@ _SYMBOL = np.zeros(256, np.uint32)  # 0: border; 1-26: a-z; 27-31: other letters
 _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27 + np.arange(128) % 5
-_IS_FREE, _IS_AHEAD, _IS_SEP = (np.isin(np.arange(256), list(s.encode())) for s in (_FREE, "".join(c for c in LEET if c not in _FREE), " .-_*"))
-_TOKEN = re.compile(r"[a-z0-9@$!|+(*]+")
-_SPACED = re.compile(r"(?<![^\W_])[a-z0134578@$9](?:[ .\-_*][a-z0134578@$9]){2,}(?![^\W_])")
+_SEPARATORS = " .-_*/,"
+_IS_FREE, _IS_AHEAD, _IS_SEP, _IS_CUT = (np.isin(np.arange(256), list(s.encode())) for s in (_FREE, "".join(c for c in LEET if c not in _FREE), _SEPARATORS, "-._*/"))
+_VOWEL = np.isin(np.arange(256), list(b"aeiouAEIOU"))
+_TOKEN = re.compile(r"(?:[^\W_]|[@$!|+(*]|(?<=[^\W\d_])[-._/](?=[^\W\d_]))+")
+_SPACED = re.compile(r"(?<![^\W_])[a-z0134578@$9](?:[ .\-_*/,][a-z0134578@$9]){2,}(?![^\W_])")
 _TAIL = re.compile(r"(?:[!|+(*]+|([@$])\1{2,})$")
-_TRIPLE = re.compile(r"([a-z])\1\1")
+_TRIPLE, _TWO = re.compile(r"([a-z])\1\1"), re.compile(r"([a-z])\1")
+_ZERO = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+
+
+def _base(c: str) -> str:
+    """The Latin letter under an accent, or of full width; '' for others."""
+    d = unicodedata.normalize("NFKD", c)[0].lower()
+    return d if "a" <= d <= "z" and d != c else ""
+
+
+def folded(b: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capital letters of ASCII and Latin-1 in lower case."""
+    out = tv.LOWER[b]
+    high = np.zeros(len(b), bool)
+    high[1:] = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
+    out[high] += 0x20
+    return out
 
 
 # ---- character model -------------------------------------------------------------------------------------------
@@ -102,7 +127,7 @@ class Restorer:
             n = 1
             while i + n < len(w) and w[i + n] == c:
                 n += 1
-            if c in " .-_" or (c == "*" and spaced):
+            if c in " .-_/," or (c == "*" and spaced):
                 out.append([("", _JOIN), (" ", 0.0)])
                 n = 1
             elif c in LEET:
@@ -111,30 +136,41 @@ class Restorer:
                     out.append(opts + [(x + x, _SUB + _TWICE) for x in LEET[c]])
                 else:
                     out.extend([opts] * n)
+            elif c > "\x7f" and c.isalpha():
+                latin = LOOKS.get(c) or _base(c)
+                out.extend([[(c, 0.0), (latin, _SUB)] if latin else [(c, 0.0)]] * n)
             elif not "a" <= c <= "z":
                 out.append([(" ", 0.0)])
             elif n >= 3:
                 out.append([(c, _ONCE), (c + c, _TWICE)])
+            elif n == 2:
+                out.append([(c + c, 0.0), (c, _DOUBLE)])
             else:
-                out.extend([[(c, 0.0)]] * n)
+                out.append([(c, 0.0)])
             i += n
         return out
 
+    @staticmethod
+    def symbols(text: str) -> list[tuple[str, tuple[int, ...]]]:
+        """Each character with its symbols."""
+        return [(c, (0,) if c == " " else (ord(c) - 96,) if "a" <= c <= "z" else tuple(_SYMBOL[list(c.encode())].tolist())) for c in text]
+
     def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
         """The likeliest restored string. States are the last three symbols, so the search is exact."""
         p = self.p
         states: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
-        for options in [*lattice, [(" ", 0.0)]]:
+        for options in [*([(self.symbols(t), cost) for t, cost in o] for o in lattice), [(self.symbols(" "), 0.0)]]:
             new: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
             for (a, b, c), (score, back) in states.items():
                 for text, cost in options:
                     x, y, z, s, path = a, b, c, score + cost, back
-                    for ch in text:
-                        k = 0 if ch == " " else ord(ch) - 96
-                        if k == 0 and z == 0:
+                    for ch, ks in text:
+                        if ks == (0,) and z == 0:
                             continue
-                        s += float(p[x, y, z, k])
-                        x, y, z, path = y, z, k, (path, ch)
+                        for k in ks:
+                            s += float(p[x, y, z, k])
+                            x, y, z = y, z, k
+                        path = (path, ch)
                     old = new.get((x, y, z))
                     if old is None or s > old[0]:
                         new[x, y, z] = (s, path)
@@ -146,21 +182,49 @@ class Restorer:
             out.append(ch)
         return "".join(reversed(out)).strip()
 
+    def odd(self, w: str) -> bool:
+        """Whether a word could come from the channel."""
+        if _TRIPLE.search(w) or any(c in LEET for c in w):
+            return True
+        other = [c for c in w if c > "\x7f"]
+        if other and (any(c in LOOKS or "\uff21" <= c <= "\uff5a" for c in other) or (len(other) > 1 and not any(c in "aeiou" for c in w))):
+            return True
+        b = np.frombuffer(w.encode(), np.uint8)
+        return bool(_unlikely(b, self.p).any())
+
     def text(self, text: str) -> str:
-        text = _SPACED.sub(lambda m: self.decode(self.lattice(m[0], True)) if any("a" <= c <= "z" for c in m[0]) else m[0], text.lower())
+        """A folded text with its odd words restored."""
+        text = _ZERO.sub("", text)
+        text = _SPACED.sub(lambda m: self.decode(self.lattice(m[0], True)) if any("a" <= c <= "z" for c in m[0]) else m[0], text)
 
         def one(m: re.Match) -> str:
             w = _TAIL.sub("", m[0])
-            letters = any("a" <= c <= "z" for c in w)
-            if not letters or not (_TRIPLE.search(w) or any(c in LEET for c in w)):
+            if not any(c.isalpha() for c in w) or len(w) > 64 or not self.odd(w):
                 return m[0]
             return self.word(w)
 
         return _TOKEN.sub(one, text)
 
 
-def suspicious(b: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Texts that hold a sign the channel could have made."""
+def _unlikely(b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Places of folded bytes where a doubled letter is rare, or a sign parts two letters that the model would rather join."""
+    n = len(b)
+    pad = np.concatenate((np.zeros(4, np.uint8), b, np.zeros(4, np.uint8)))
+    at = lambda k, i: _SYMBOL[pad[4 + k + i]]
+    out = np.zeros(n, bool)
+    low = (b >= 97) & (b <= 122)
+    i = np.flatnonzero(low & (b == pad[5 : 5 + n]))
+    out[i] = p[at(-2, i), at(-1, i), at(0, i), at(1, i)] < _RARE
+    i = np.flatnonzero(_IS_CUT[b] & _LETTER[pad[3 : 3 + n]] & _LETTER[pad[5 : 5 + n]])
+    x, y, z, u, v = at(-3, i), at(-2, i), at(-1, i), at(1, i), at(2, i)
+    zero = np.zeros(len(i), np.uint32)
+    apart = p[x, y, z, zero] + p[y, z, zero, u] + p[z, zero, u, v]
+    out[i] |= p[x, y, z, u] + p[y, z, u, v] > apart + _GAIN
+    return out
+
+
+def suspicious(b: np.ndarray, offs: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Folded texts that hold something the channel could have made."""
     n = len(b)
     pad = np.concatenate((np.zeros(4, np.uint8), b, np.zeros(4, np.uint8)))
     at = lambda k: pad[4 + k : 4 + k + n]
@@ -174,21 +238,34 @@ def suspicious(b: np.ndarray, offs: np.ndarray) -> np.ndarray:
     p1 = np.concatenate((one, np.zeros(4, bool)))
     s1 = np.concatenate((_IS_SEP[b], np.zeros(4, bool)))
     odd |= p1[:n] & s1[1 : n + 1] & p1[2 : n + 2] & s1[3 : n + 3] & p1[4 : n + 4]
+    odd |= _unlikely(b, p)
+    if (b >= 128).any():
+        # signs without width; letters of other scripts and of full width
+        odd |= (b == 0xE2) & (((at(1) == 0x80) & (at(2) >= 0x8B) & (at(2) <= 0x8D)) | ((at(1) == 0x81) & (at(2) == 0xA0)))
+        odd |= ((b == 0xEF) & (at(1) == 0xBB) & (at(2) == 0xBF)) | ((b == 0xC2) & (at(1) == 0xAD))
+        plain = lambda k: (at(k) >= 97) & (at(k) <= 122)
+        odd |= (b >= 0xCE) & (b <= 0xD4) & (plain(-1) | plain(2))
+        odd |= (b == 0xEF) & (at(1) >= 0xBC) & (at(1) <= 0xBD)
+        # words of several accents without a plain vowel
+        s, e, _ = tv.runs(letter, offs)
+        c = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
+        high, vowel = c(b >= 0xC0), c(_VOWEL[b])
+        odd[s[(high[e] - high[s] > 1) & (vowel[e] == vowel[s])]] = True
     c = np.concatenate(([0], np.cumsum(odd, dtype=np.int64)))
     return np.flatnonzero(c[offs[1:]] > c[offs[:-1]])
 
 
 def restored(b: np.ndarray, offs: np.ndarray, with_: Restorer) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes in lower case, the suspicious ones restored."""
-    odd = suspicious(b, offs)
-    low = tv.LOWER[b]
+    low = folded(b)
+    odd = suspicious(low, offs, with_.p)
     if not len(odd):
         return low, offs
     size = np.diff(offs)
     pieces, last = [], 0
     for d in odd.tolist():
         pieces.append(low[offs[last] : offs[d]])
-        new = np.frombuffer(with_.text(b[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace")).encode(), np.uint8)
+        new = np.frombuffer(with_.text(low[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace")).encode(), np.uint8)
         size[d] = len(new)
         pieces.append(new)
         last = d + 1
@@ -238,8 +315,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True)) ->
     rows = rows.join(F.broadcast(picked), "doc_id").select("text", "label")  # about LABEL_ROWS
     counts = map_arrow(rows, _labelled_words(chars), "word long, n long, tox long, all boolean").groupBy("word", "all")
     counts = counts.agg(F.sum("n").alias("n"), F.sum("tox").alias("tox"), F.count("*").alias("parts"))
-    from .common import materialize
-
     counts = materialize(counts, "words")
     whole = counts.where("all").select("n", "tox").first()
     if not whole or not whole.n:
@@ -256,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True)) ->
     share = t / n
     low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     hits = counts.where("not all").select("word", gain.alias("gain"), low.alias("low")).where((F.col("low") > base) & (F.col("gain") > 2 * math.log(tried) + 6))
-    hits = hits.orderBy(F.desc("gain"), "word").limit(MOST_WORDS).toArrow()
+    hits = hits.toArrow()  # words of about LABEL_ROWS texts that pass the test
     return Model(chars, hits.column("word").to_numpy().astype(np.int64).view(np.uint64), hits.column("low").to_numpy().astype(float), float(base))
 
 
@@ -294,7 +369,7 @@ def restore_texts(docs: DataFrame, chars: np.ndarray) -> DataFrame:
     def go(batches):
         with_ = Restorer(chars)
         for batch in batches:
-            out = [None if t is None else with_.text(t) for t in batch.column(1).to_pylist()]
+            out = [None if t is None else with_.text(folded(np.frombuffer(t.encode(), np.uint8)).tobytes().decode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "restored"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -542,6 +542,32 @@ def test_toxicity(spark, docs, labels):
     model = toxicity.fit(d, y)
     test = spark.createDataFrame([(1, "you 1d10t"), (2, "an i.d.i.o.t here"), (3, "IDIOOOOT"), (4, "some plain day"), (5, "1999 a.b, 100$ and 3 x 4")], "doc_id long, text string")
     assert {r.key: r.score >= toxicity.FLAG for r in toxicity.score(test, model).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+    disguised = ["i/d/i/o/t", "i,d,i,o,t", "\u0456diot", "ïdíöt", "id\u200biot", "iidiot", "idi-ot", "ＩＤＩＯＴ", "an ID1OT!!!", "Ünsinn 1diot"]
+    test = spark.createDataFrame(list(enumerate(disguised)), "doc_id long, text string")
+    assert [disguised[r.key] for r in toxicity.score(test, model).collect() if r.score < toxicity.FLAG] == []
+
+
+def test_one_folding():
+    """A word has one hash, whatever else is in its text."""
+    p = np.full((32, 32, 32, 32), -3.0, np.float32)
+    hashes = []
+    for t in ("Ünsinn ÄRGER Éa", "Ünsinn ÄRGER Éa 1d10t", "ünsinn ärger éa"):
+        (_, b, offs), *_ = text_parts(pa.array([t]))
+        hashes.append(toxicity._words(*toxicity.restored(b, offs, toxicity.Restorer(p)))[0][:3].tolist())
+    assert hashes[0] == hashes[1] == hashes[2]
+
+
+def test_toxicity_query(spark):
+    """Held-out rows are never learned from, and most of their toxic documents are found."""
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, d).collect()}
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count()
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= toxicity.FLAG)
+    held = [(label[i], r.predicted) for i, r in got.items() if r.held_out and label.get(i) is not None]
+    toxic, clean = [p for y, p in held if y], [p for y, p in held if not y]
+    assert len(toxic) > 10 and np.mean(toxic) >= 0.7 and np.mean(clean) <= 0.02
 
 
 def test_viterbi_is_exact():
