@@ -374,6 +374,44 @@ def test_licenses_wrapped_unversioned_and_bare(spark, text, labels):
     assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: BSL-1.0", "boost-1.0"), ("SPDX-License-Identifier: BUSL-1.1", "busl-1.1"), ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", "apache-2.0,mit"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "gpl-2.0"), ("SPDX-License-Identifier: MulanPSL-2.0", "mulan-2.0"), ("SPDX-License-Identifier: PSF-2.0", "python-2.0"),
+        ("SPDX-License-Identifier: CC-BY-SA-4.0 AND CC0-1.0", "cc-by,cc-by-sa-4.0,cc0-1.0"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("spdx-license-identifier: mitten", ""),
+        ("gnu general\npublic license", "gpl"), ("under the Apache License,\n version 2.0", "apache-2.0"), ("Tous droits réservés, alle Rechte vorbehalten", "reserved"),
+        ("This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.", "gpl,gpl-3.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl,mpl-2.0"),
+    ],
+)
+def test_license_identifiers_and_sentences(spark, text, labels):
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels
+    assert set(labels.split(",")) <= set(got.split(",")) and (labels or not got), got
+    assert "spdx" not in text.lower() or got == labels
+
+
+def test_suppression_is_the_plain_one():
+    """Against a test of each detection with each winner; and in time for many."""
+    rng = np.random.default_rng(4)
+    names = ["ab", "abc", "bc", "b c", "c", "a", "abcab", "ca(?P<at>b)"]
+    some = [licenses.Rule(f"r{i}", f"l{i}", int(rng.integers(0, 3)), 0.5, (), n) for i, n in enumerate(names)]
+    some = [(r, re.compile(r.pattern)) for r in some]
+    for _ in range(200):
+        text = "".join(rng.choice(list("abc x"), 40)).strip()
+        short = licenses.folded(text)[0]
+        found = [(r.priority, m.start(g) - m.end(g), m.start(g), m.end(g), r) for r, p in some for g in ["at" if "at" in p.groupindex else 0] for m in p.finditer(short)]
+        kept = []
+        for _, _, a, b, r in sorted(found, key=lambda x: (*x[:3], x[4].name)):
+            if not any(x <= a and b <= y for x, y, _ in kept):
+                kept.append((a, b, r))
+        if short == text:
+            assert licenses.detect(text, some) == sorted(kept, key=lambda x: x[:2])
+    began = time.perf_counter()
+    assert len(licenses.detect("mit license x " * 30000, [(r, re.compile(r.pattern)) for r in licenses.rules() if r.label == "mit"])) == 30000
+    assert time.perf_counter() - began < 10
+
+
 def test_places_of_licenses_are_the_texts(spark):
     text = "İx\n\n# first  line\n#\n#  Licensed under\n# the  Apache\n#\tLicense, Version\n# 2.0, and\n  more"
     r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
