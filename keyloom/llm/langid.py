@@ -20,6 +20,8 @@ SIZES = (2, 3, 4)
 CENTROIDS = 3
 PER_LANGUAGE = 600
 ROUNDS = 12
+#: Up to so many languages their sampling rates are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 #: Share of a centroid's own texts that its radius holds.
 RADIUS = 0.995
 ROWS = 192
@@ -120,9 +122,11 @@ def fit(docs: DataFrame) -> Model:
     # drawn over distinct texts, each once: copies neither swell a language's sample nor are left out together
     mark = F.xxhash64("text", F.lit(11))
     marks = materialize(rows.select("lang", mark.alias("order")).distinct(), "text-marks")
-    rate = marks.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("rate"))  # a row a language, like the model itself
+    rate = marks.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("rate"))
+    if rate.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:
+        rate = F.broadcast(rate)
     place = (F.shiftrightunsigned(F.col("order"), 11).cast("double")) / F.lit(float(1 << 53))
-    drawn = rows.select("lang", "text", mark.alias("order")).join(F.broadcast(rate), "lang").where(place < F.col("rate"))
+    drawn = rows.select("lang", "text", mark.alias("order")).join(rate, "lang").where(place < F.col("rate"))
     some = drawn.groupBy("lang", "order").agg(F.min("text").alias("text"))
     ship_fn = _clustered(idf, CENTROIDS)
     made = some.groupBy("lang").applyInPandas(ship_fn, "lang string, radius double, centroid array<float>").toArrow().to_pylist()

@@ -14,6 +14,7 @@ Documents are in ascending doc_id order over ``(part, block)``.
 
 from __future__ import annotations
 
+import json
 import zlib
 from itertools import chain
 
@@ -25,9 +26,19 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import discard, fresh_path, map_arrow, materialize, ship, text_parts
 
+# The sections of a tokenizer's file that the pieces below stand for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+ADDED = ("<|startoftext|>", "<|endoftext|>")
+
 STEP = 64
 BLOCK_TOKENS = 1 << 18
-LIMIT = 16
+#: Code lengths, at least; vocabularies of more ids take as many bits as they need, ``MOST_BITS`` at most.
+LIMIT, MOST_BITS = 16, 24
 #: Distinct pieces kept with their ids by each worker; beyond it the memory is emptied and filled again.
 CACHE_PIECES = 250_000
 
@@ -53,7 +64,8 @@ class PieceEncoder:
 
     The vocabulary's pieces (letters, single digits, other signs, English contractions) don't depend on their neighbours.
     Texts of ASCII and Latin-1 letters are split into pieces here, on bytes, and each distinct piece is given to the
-    library's model once; any other text goes to the library whole.
+    library's model once; any other text goes to the library whole, and so does every text where the file's normaliser, splitter or added
+    tokens are others than those that the pieces stand for.
     """
 
     def __init__(self, path: str):
@@ -61,6 +73,10 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        added = all(t["content"] in ADDED for t in told.get("added_tokens") or [])
+        self.known_pieces = told.get("normalizer") == NORMALIZER and told.get("pre_tokenizer") == SPLITTER and told["model"].get("type", "BPE") == "BPE" and added
         self.clear()
 
     def clear(self) -> None:
@@ -88,6 +104,8 @@ class PieceEncoder:
         """The ids of some texts, each with the end id, and their counts."""
         import pandas as pd
 
+        if not self.known_pieces:
+            return self._whole(b, offs, end_id)
         nd = len(offs) - 1
         if len(self.known) > CACHE_PIECES:
             self.clear()
@@ -132,6 +150,12 @@ class PieceEncoder:
             ids, ends = np.concatenate(cut), np.cumsum(per)
         return np.insert(ids, ends, end_id), per + 1
 
+    def _whole(self, b: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        raw = b.tobytes()
+        got = [[*self.tok.encode(raw[x:y].decode(), add_special_tokens=False).ids, end_id] for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        n = np.array([len(x) for x in got], np.int64)
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())), n
+
     @staticmethod
     def _pieces(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cls = _CLASS[b]
@@ -252,9 +276,9 @@ def pack(ids: np.ndarray, code_of: np.ndarray, length_of: np.ndarray) -> tuple[b
     pos = end - ln
     total = int(end[-1]) if len(end) else 0
     unit, off = pos >> 4, pos & 15
-    v = code_of[ids] << (32 - off - ln)  # codes have at most 16 bits
-    size = (total >> 4) + 2
-    bits = np.bincount(unit, v >> 16, size)[:size] + np.bincount(unit + 1, v & 0xFFFF, size + 1)[:size]
+    v = code_of[ids] << (48 - off - ln)  # a code of MOST_BITS lies in three units of 16 bits at most
+    size = (total >> 4) + 3
+    bits = sum(np.bincount(unit + k, (v >> (32 - 16 * k)) & 0xFFFF, size + k)[:size] for k in range(3))
     marks = np.append(end[STEP - 1 :: STEP], end[-1:] if len(end) % STEP else [])
     return bits.astype(">u2").tobytes(), np.diff(marks, prepend=0).astype("<u2").tobytes()
 
@@ -347,14 +371,15 @@ def _blocks(code_of: np.ndarray, length_of: np.ndarray, offsets: np.ndarray):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, limit: int = LIMIT) -> None:
     """Tokenise ``docs`` (doc_id, text) and write the ids of every whole text to ``path``, in ascending doc_id order.
 
-    A null or empty text has the end id alone. Null ids come first; repeated ids stay next to one another, in no
-    set order. Other columns are ignored. An empty table makes empty tables.
+    A null or empty text has the end id alone. Null ids come first; repeated ids stay next to one another, in order of
+    their text's hash. Other columns are ignored. An empty table makes empty tables.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # the text's hash parts rows of one id (or of none), however many they are
+    ranged = rows.withColumn("order", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "order").sortWithinPartitions("doc_id", "order").drop("order")
     made = map_arrow(ranged, encode_rows(tokenizer, end_id), "part int, doc_id long, first long, n_tokens long, ids binary")
     made = materialize(made, "ids")
     sums = made.groupBy("part").agg(F.sum("n_tokens").alias("n")).toArrow()  # a row for each partition
@@ -362,6 +387,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, li
     offsets = np.concatenate(([0], np.cumsum([of.get(p, 0) for p in range(max(of, default=0) + 1)]))).astype(np.int64)
     counts = map_arrow(made.select("ids", "n_tokens"), _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toArrow()  # a row an id
     symbols, n = counts.column("id").to_numpy().astype(np.int64), counts.column("n").to_numpy()
+    limit = min(max(limit, (max(len(n), 1) - 1).bit_length()), MOST_BITS)
     lengths = code_lengths(n, limit) if len(n) else np.zeros(0, np.int64)
     code_of, length_of = np.zeros(int(symbols.max(initial=0)) + 1, np.int64), np.zeros(int(symbols.max(initial=0)) + 1, np.int64)
     code_of[symbols], length_of[symbols] = canonical(lengths), lengths

@@ -257,6 +257,34 @@ def test_huffman():
         token_io.code_lengths(np.ones(9), 3)
 
 
+def test_codes_of_large_vocabularies():
+    rng = np.random.default_rng(6)
+    n, limit = 70_000, 17
+    lengths = token_io.code_lengths(rng.integers(1, 1000, n), limit)
+    codes, (symbol_at, length_at) = token_io.canonical(lengths), token_io.tables(np.arange(n), lengths, limit)
+    runs = [rng.integers(0, n, k) for k in (1, 63, 64, 65, 5000)]
+    packed = [(*token_io.pack(r, codes, lengths), len(r)) for r in runs]
+    assert all((a == b).all() for a, b in zip(runs, token_io.unpack(packed, symbol_at, length_at, limit), strict=True))
+
+
+def test_other_tokenizers_go_whole(spark, tmp_path):
+    """A file whose splitter is another one, ids beyond those with codes of 16 bits, repeated ids."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    told = json.load(open(tokenizer_path()))
+    told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
+    path = str(tmp_path / "other.json")
+    json.dump(told, open(path, "w"))
+    tok = Tokenizer.from_file(path)
+    rows = [(1, "abc123 it's"), (2, ""), (3, None), (3, "x 12"), (3, "y 7z"), (None, "a b")]
+    got = token_io.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    crc = lambda t: zlib.crc32(b"".join(struct.pack("<I", x) for x in [*tok.encode(t or "", add_special_tokens=False).ids, 1]))
+    assert sorted(((r.doc_id, r.ids_crc32) for r in got), key=str) == sorted(((i, crc(t)) for i, t in rows), key=str)
+    assert tok.encode("abc123").ids != Tokenizer.from_file(tokenizer_path()).encode("abc123").ids
+
+
 def test_pieces_are_the_tokenizers():
     enc = token_io.PieceEncoder(tokenizer_path())
     odd = ["it's we're I'LL they've x'd 'start ''s !'s 'tis don't'", "naïve ÉCOLE Straße × 5÷2 ½", "İ ŉ", "a\x1cb\x85c", "<|endoftext|> a", "", " ", "é", "'", "12 3.14", "a\x0bb\x0cc", "’s"]
@@ -643,6 +671,62 @@ def test_language(spark, docs):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_query(spark):
+    """Held-out rows are never learned from, and their languages are found."""
+    d = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = queries.op2_language_id(spark, d).collect()
+    known = {r.lang for r in docs.values() if r.lang}
+    right = []
+    for r in got:
+        t = docs[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in t.text or "")) and r.lang_pred in known | {"und"}
+        if r.held_out and t.lang and r.lang_pred != "und":
+            right.append(r.lang_pred == t.lang)
+    assert len(got) == len(docs) and len(right) > 100 and np.mean(right) > 0.95
+
+
+def test_quality_verdict(spark, docs, labels):
+    """The likelihood ratio of every text, counted in plain Python."""
+    bucket = lambda g: (int.from_bytes(g, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+    grams = lambda t: collections.Counter(bucket(b[i : i + 3]) for b in [(t or "").encode()] for i in range(len(b) - 2))
+    rows = [(i, grams(t)) for i, t in plain(docs)]
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
+    raw, trusted = collections.Counter(), collections.Counter()
+    for i, c in rows:
+        raw.update(c)
+        if i in good:
+            trusted.update(c)
+    all_raw, all_trusted = sum(raw.values()) + quality.BUCKETS / 2, sum(trusted.values())
+    p = {g: (raw[g] + 0.5) / all_raw for g in raw}
+    ratio = {g: np.log((trusted[g] + 0.01 * all_trusted * p[g]) / (1.01 * all_trusted) / p[g]) for g in raw}
+    want = collections.Counter((i, round(sum(n * ratio[g] for g, n in c.items()) / max(sum(c.values()), 1), 3)) for i, c in rows)
+    table = quality.fit(docs, labels)
+    got = quality.score(docs, labels)
+    name = next(c for c in got.columns if c not in ("doc_id", "kept", "base_failed", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    near = {(i, s) for (i, s) in want}
+    for r in got.collect():
+        assert min(abs(r[name] - s) for i, s in near if i == r.doc_id) < 2e-3 and r.kept == (not r.base_failed and r[name] >= quality.THRESHOLD)
+    assert len(table) == quality.BUCKETS
+
+
+def test_other_queries(spark):
+    """The registered queries over a folder's whole tables, with the columns of their contracts."""
+    n = spark.read.parquet(f"{DIR}/documents.parquet").count()
+    want = {
+        "op3_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+        "op7_token_io": ["doc_id", "start", "n_tokens", "ids_crc32"],
+        "op9_license_scan": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+        "op10_minhash_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
+    }
+    for name, columns in want.items():
+        got = queries.QUERIES[name](spark, DIR)
+        assert set(columns) <= set(got.columns) and got.count() == n, name
+    found = queries.op5_decontamination(spark, DIR)
+    assert {"doc_id", "item_id"} <= set(found.columns) and found.count() > 0
+
+
 def test_language_of_few_texts_with_many_copies(spark, monkeypatch):
     monkeypatch.setattr(langid, "PER_LANGUAGE", 20)
     sizes = spark.sparkContext.accumulator(0)
