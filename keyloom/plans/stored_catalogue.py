@@ -19,6 +19,7 @@ from ..operators.query import Query, value_of
 from ..sources.model import Bound, ColumnIndex, Keyspace, SetKeyspace, index_by
 from ..sources.scratch import fresh_path
 from ..sources.store import Store
+from ..streaming.feed import apply_stream, feed
 from .catalogue import CUSTOMER, CUSTOMER_ORDERS, ORDERS, PART, bound, brand, custkey, orders, price, priority, query, size, status, tokens, total
 
 ORDERS_BY = Keyspace(
@@ -554,3 +555,28 @@ def index_product(spark, d) -> DataFrame:
     i = ColumnIndex("x", (Column("n_regionkey"), _multi()), where="n_regionkey <> 2")
     got = collapsed(NATION.bind(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")), i)
     return got.select(F.col("_k_n_regionkey").alias("n_regionkey"), F.col("_k_letters").alias("letter"), "n_nationkey")
+
+
+# ---- streams
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation union all select 100, 'kept', 1")
+def stream_upsert(spark, d) -> DataFrame:
+    """A stream's rows as keyed writes: those of known keys replace theirs."""
+    st = Store(spark, fresh_path(spark, "streamed"), ranges=3)
+    st.update(lambda tx: tx.create(NATION, some_nations(spark, (0, "old", 1), (100, "kept", 1))))
+    rows = spark.readStream.schema("n_nationkey int, n_name string, n_regionkey int").parquet(f"{d}/nation*.parquet")
+    apply_stream(st, NATION, rows, fresh_path(spark, "checkpoint")).awaitTermination()
+    return st.snapshot().open(NATION).rows
+
+
+@query("select * from (values (2, 'nation'), (3, 'nation')) x(version, space)")
+def stream_feed(spark, d) -> DataFrame:
+    """The published versions of one keyspace, as a stream."""
+    st, path = nations(spark, d), fresh_path(spark, "feed")
+    st.update(lambda tx: tx.delete(NATION, some_nations(spark, (5, "", 0))))
+    st.update(lambda tx: tx.create(Keyspace("it's", "k"), spark.range(3).withColumnRenamed("id", "k")))
+    out = feed(st, "nation").writeStream.format("parquet").option("path", path).option("checkpointLocation", fresh_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    seen = spark.read.schema("version long, changed array<string>").parquet(path)
+    return seen.select(F.col("version").cast("int").alias("version"), F.array_join("changed", ",").alias("space"))

@@ -81,6 +81,44 @@ def test_sets(spark):
         sets.put(fixed, spark.createDataFrame([(1, "abc")], "k long, m string"))
 
 
+def test_set_declarations(spark):
+    """Keys are checked when a set is bound; members may be structs of values that can be compared."""
+    rows_ = spark.sql("select 1L as k, named_struct('a', 1, 'b', 'x') as m, map('a', 1) as x")
+    assert S.bind(rows_).rows.count() == 1
+    for bad in (SetKeyspace("s", ("m", "k")), SetKeyspace("s", ("k", "nothing")), SetKeyspace("s", ("k", "x")), Keyspace("s", "m")):
+        with pytest.raises(E.InvalidOptions):
+            bad.bind(rows_)
+
+
+def test_reads_in_order(spark, tmp_path):
+    """Lookups, prefixes and ranges in key order and its exact reverse, with and without stored entries."""
+    from keyloom.functions.columns import MultiColumn
+    from keyloom.operators.index import IndexReader
+
+    data = spark.createDataFrame([(i, f"v{i % 3}", [f"t{i % 4}", "all", f"t{i % 2}"]) for i in range(24)], "k long, v string, tags array<string>")
+    tags = MultiColumn("tags")
+    space = Keyspace("r", "k", (ColumnIndex("by_v", (V,)), ColumnIndex("full", (V,), cover_value=True), ColumnIndex("by_tag", (tags, V)), ColumnIndex("full_tag", (tags, V), cover_value=True), ColumnIndex("none", (V,), where="k > 10")))
+    st = Store(spark, f"file://{tmp_path}/db", ranges=3)
+    st.update(lambda tx: tx.create(space, data))
+    every = [r.asDict() for r in data.collect()]
+    keys = {"by_v": lambda r: [(r["v"],)], "full": lambda r: [(r["v"],)], "none": lambda r: [(r["v"],)] * (r["k"] > 10), "by_tag": lambda r: [(t, r["v"]) for t in r["tags"]], "full_tag": lambda r: [(t, r["v"]) for t in r["tags"]]}
+    for b in (space.bind(data), st.snapshot().open(space)):
+        for name, of in keys.items():
+            reader, two = IndexReader(b, name), "tag" in name
+            point = ("t1", "v1") if two else ("v1",)
+
+            def want(ok, of=of):
+                return [k for _, k in sorted((min(e for e in of(r) if ok(e)), r["k"]) for r in every if any(map(ok, of(r))))]
+
+            for got, ok in (
+                (lambda rev: reader.lookup(*point, reverse=rev), lambda e: e == point), (lambda rev: reader.prefix(point[0], reverse=rev), lambda e: e[0] == point[0]),
+                (lambda rev: reader.prefix(reverse=rev), lambda e: True), (lambda rev: reader.range(point, None, reverse=rev), lambda e: e >= point), (lambda rev: reader.range(None, ("t2",) if two else ("v2",), reverse=rev), lambda e: e < (("t2",) if two else ("v2",))),
+            ):
+                assert [r.k for r in got(False).collect()] == want(ok), name
+                assert [r.k for r in got(True).collect()] == want(ok)[::-1], name
+                assert sorted(r.k for r in got(None).collect()) == sorted(want(ok)), name
+
+
 def test_store(spark, tmp_path):
     st = Store(spark, f"file://{tmp_path}/db")
     st.update(lambda tx: tx.create(T, rows(spark, (1, "a"), (2, "b"))))
