@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANGE = "_keyloom_range"
-_SIMPLE = (T.StringType, T.BinaryType, T.IntegralType, T.DecimalType, T.TimestampType, T.DateType, T.FractionalType)
+_SIMPLE = (T.StringType, T.BinaryType, T.IntegralType, T.DecimalType, T.TimestampType, T.TimestampNTZType, T.DateType, T.FractionalType, T.BooleanType)
 
 
 class Ranges:
@@ -35,11 +35,11 @@ class Ranges:
         return F.lit(text).cast(self.kind)
 
     def of(self, key: Column) -> Column:
-        """The number of a key's range; null keys lie in the first."""
+        """The number of a key's range; null keys lie in the first, which has no upper bound if it holds nothing else."""
         uppers = [self._value(p["upper"]) for p in self.parts[:-1] if p["upper"] is not None]
-        if not uppers:
-            return F.lit(0)
-        return F.coalesce(F.size(F.filter(F.array(*uppers), lambda u: u < key)), F.lit(0))
+        nulls = len(self.parts[:-1]) - len(uppers)
+        below = F.size(F.filter(F.array(*uppers), lambda u: u < key)) if uppers else F.lit(0)
+        return F.when(key.isNull(), F.lit(0)).otherwise(F.lit(nulls) + below)
 
     def read(self, numbers=None) -> DataFrame:
         paths = [f"{self.root}/{p['path']}" for i, p in enumerate(self.parts) if p["path"] and (numbers is None or i in numbers)]
@@ -56,9 +56,10 @@ class Ranges:
         simple = isinstance(self.kind, _SIMPLE)
         if simple:
             placed = rows.repartitionByRange(self.most, self.by[0]) if self.most else rows.repartitionByRange(self.by[0])
-        else:
-            placed = rows.coalesce(1)
-        placed = placed.withColumn(RANGE, F.spark_partition_id()).sortWithinPartitions(RANGE, *self.by)
+            placed = placed.withColumn(RANGE, F.spark_partition_id())
+        else:  # a key without a text to tell it by: one range of many files
+            placed = rows.repartition(*self.by).withColumn(RANGE, F.lit(0))
+        placed = placed.sortWithinPartitions(RANGE, *self.by)
         placed.write.partitionBy(RANGE).parquet(f"{self.root}/{folder}")
         kind = T.StructType([*self.schema.fields, T.StructField(RANGE, T.IntegerType())])
         upper = self._told(F.max(self.by[0])) if simple else F.lit(None).cast("string")

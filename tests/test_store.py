@@ -191,6 +191,20 @@ def test_touched_ranges(spark, tmp_path):
     assert versions == st.version() - 1 and folders > 0 and st.versions() == [st.version()] and st.snapshot().open(space).rows.count() == 1002
 
 
+def test_ranges_of_odd_keys(spark, tmp_path):
+    """Null, boolean, binary, time and struct keys of indexes, in stores that are written to again."""
+    kinds = {"b": "k % 2 = 0", "n": "if(k < 30, null, k)", "x": "cast(cast(k as string) as binary)", "t": "timestamp_micros(k * 1000003)", "d": "date_add(date'2020-01-01', cast(k as int))", "s": "struct(k % 3 as a)", "f": "k / 7.0"}
+    space = Keyspace("o", "k", tuple(ColumnIndex(f"by_{c}", (Column(c),)) for c in kinds))
+    data = spark.range(60).selectExpr("id as k").selectExpr("k", *[f"{v} as {c}" for c, v in kinds.items()])
+    st = Store(spark, f"file://{tmp_path}/db", ranges=5)
+    st.update(lambda tx: tx.create(space, data))
+    more = spark.range(50, 70).selectExpr("id as k").selectExpr("k", *[f"{v} as {c}" for c, v in kinds.items()])
+    st.update(lambda tx: tx.put(space, more.withColumn("n", F.lit(None).cast("long"))))
+    st.update(lambda tx: tx.delete(space, spark.range(20, 40).selectExpr("id as k")))
+    b = st.snapshot().open(space)
+    assert b.rows.count() == 50 and st.snapshot().check(space).isEmpty() and b.rows.where("n is null").count() == 40
+
+
 def test_two_writers_at_once(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
