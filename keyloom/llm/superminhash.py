@@ -277,12 +277,10 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     # two texts of one id in one component: all but the first go
     twice = got.where(F.col("kept") & F.col("comp").isNotNull()).groupBy("comp").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first != last")
     more = got.where("kept").join(twice.select("comp", "first"), "comp").where("mark != first")
-    gone = got.where(~F.col("kept")).unionByName(more.select(*got.columns)).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    text = F.coalesce("mark", F.lit("")).alias("_text")
+    gone = got.where(~F.col("kept")).unionByName(more.select(*got.columns)).select(F.col("doc_id").alias("_id"), text).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("_id", F.col("row.doc_id").cast("long")).withColumn("_mark", F.md5(F.col("row.text").cast("string")))
-    rest = rows.join(gone, ["_id", "_mark"], "left_anti")
-    # rows that repeat an id and a text are few, and alone are compared
-    again = got.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.coalesce("mark", F.lit("")).alias("_text"))
-    rest = rest.withColumn("_text", F.coalesce("_mark", F.lit("")))
-    one = rest.join(again, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
-    return rest.join(again, ["_id", "_text"], "left_anti").unionByName(one).select("row.*")
+    rows = rows.withColumn("_id", F.col("row.doc_id").cast("long")).withColumn("_text", F.coalesce(F.md5(F.col("row.text").cast("string")), F.lit("")))
+    # one shuffle of the texts: what repeats an id and a text is next to it after the join
+    rest = rows.where("_id is not null").join(gone, ["_id", "_text"], "left_anti").dropDuplicates(["_id", "_text"])
+    return rest.unionByName(rows.where("_id is null")).select("row.*")

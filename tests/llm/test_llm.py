@@ -316,7 +316,7 @@ def later_copies(rows, min_words):
 def test_lines(spark, docs):
     short = "\n".join(f"item {i % 7}" for i in range(40))
     menu = "\n".join(["home", "news", "about us", "all products", "contact", "help", "terms", "privacy", "sign in", "careers", "press", "site map"])  # 16 words
-    more = [(2000, short), (2001, "head of it\n" + short + "\nfoot"), (2002, "\n" * 60 + "\n".join("abcdefghij")), (2003, "q\n" + "\n".join("abcdefghi")), (2004, "z\n" + "\n".join("abcdefghij") + "\n" * 30)]
+    more = [(2000, short), (2001, "head of it\n" + short + "\nfoot"), (2002, "\n" * 14 + "\n".join("abcdefghij")), (2003, "q\n" + "\n".join("abcdefghi")), (2004, "z\n" + "\n".join("abcdefghij") + "\n" * 9)]
     more += [(3000 + i, f"top {i}\n{menu}\nend {i}") for i in range(3)] + [(4000, "u v\n" * 30 + "w"), (4001, "ten words are in this line of text, so it's\nx\ny"), (4002, "ten words are in this line of text, so it's\nx\ny\nz")]
     some = docs.where("doc_id is null or doc_id != 904").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     brute = later_copies([(r.doc_id, r.text) for r in some.collect()], line_dedup.MIN_WORDS)
