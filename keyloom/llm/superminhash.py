@@ -206,56 +206,70 @@ def near_duplicates(docs: DataFrame, k: int, percent: int, bands: int = BANDS, r
 
     # every member of a larger bucket against its most central one
     big = members.where(F.col("g") > SMALL_BUCKET)
-    lead = F.min(F.struct(-F.col("c"), F.xxhash64("cls"), F.col("cls"))).alias("x")
-    chosen = big.groupBy("bucket").agg(lead, F.count("*").alias("n")).select("bucket", F.col("x.cls").alias("a"), "n")
-    star = materialize(with_counted(big, chosen, ["bucket"]).where("cls != a").select("a", F.col("cls").alias("b")).distinct(), "star")
-    spent.append(star)
-    stars = materialize(overlaps(star, F.array_except("sb", "sa").alias("added")), "stars")
     small = members.where(F.col("g") <= SMALL_BUCKET).withColumn("of", F.col("cls"))
-    links = materialize(confirmed(all_pairs(small)).unionByName(stars.where(near).select("a", "b")), "links")
+    tests, stars = confirmed(all_pairs(small)), None
+    if not big.isEmpty():
+        lead = F.min(F.struct(-F.col("c"), F.xxhash64("cls"), F.col("cls"))).alias("x")
+        chosen = big.groupBy("bucket").agg(lead, F.count("*").alias("n")).select("bucket", F.col("x.cls").alias("a"), "n")
+        star = materialize(with_counted(big, chosen, ["bucket"]).where("cls != a").select("a", F.col("cls").alias("b")).distinct(), "star")
+        spent.append(star)
+        stars = materialize(overlaps(star, F.array_except("sb", "sa").alias("added")), "stars")
+        tests = tests.unionByName(stars.where(near).select("a", "b"))
+    links = materialize(tests, "links")
     group = components(links)
 
-    # what is left lies between members that the leader does not join: see the module's text
-    of = F.coalesce("of", "b").alias("of")
-    split = stars.select("a", "b", "nb").join(group.toDF("b", "of"), "b", "left").select("a", "nb", of)
-    split = split.groupBy("a").agg(F.min("nb").alias("low"), F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("n")).where("x != y")
-    told = with_counted(stars, split.select("a", "low", "n"), ["a"]).drop("n").join(group.toDF("b", "of"), "b", "left").select("a", "b", "na", "nb", "both", "added", "low", of)
-    told = materialize(told.withColumn("low", F.greatest("low", F.expr(f"({percent} * nb + 99) div 100"))), "told")
-    share = F.greatest(least_both("nb", "low") - F.col("both"), F.lit(1))
-    prefix = F.slice(F.sort_array("added"), 1, F.greatest(F.size("added") - share + 1, F.lit(0)).cast("int"))
-    keyed = told.select("a", F.col("b").alias("cls"), "of", F.col("both").alias("c"), F.explode(prefix).alias("t"))
-    keyed = materialize(keyed.withColumn("bucket", F.xxhash64("a", "t")).drop("a", "t"), "keyed")
-    mixed = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
-    rest = materialize(with_counted(keyed, mixed.select("bucket", "n"), ["bucket"]).withColumnRenamed("n", "g"), "rest")
-    inside = told.where(~near & (F.col("both") >= least_both("nb", "low"))).select("a", F.col("b").alias("b1"), F.col("nb").alias("n1"), F.col("both").alias("i1"), F.col("of").alias("of1"))
-    shorter = told.where("nb < na").select("a", F.col("b").alias("b2"), F.col("nb").alias("n2"), F.col("both").alias("i2"), F.col("of").alias("of2"))
-    apart = inside.join(shorter, "a").where((F.col("of1") != F.col("of2")) & (least_both("n1", "n2") <= F.least("i1", "i2")))
-    apart = apart.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
-    pairs = all_pairs(rest.where(F.col("g") <= SPLIT_BUCKET)).unionByName(apart)
-    spent += [rest, stars, told, keyed]
-    rest, leaders = materialize(rest.where(F.col("g") > SPLIT_BUCKET).select("bucket", "cls", "c"), "rest"), 8
-    while True:
-        top = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("c"), F.xxhash64("cls"), "cls"))
-        chosen = materialize(rest.withColumn("rn", top).where(F.col("rn") <= leaders).select("bucket", F.col("cls").alias("leader")), "leaders")
-        of_bucket = chosen.groupBy("bucket").agg(F.collect_list("leader").alias("all")).join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
-        star = with_counted(rest, of_bucket, ["bucket"]).select("bucket", "cls", F.explode("all").alias("leader")).where("cls != leader")
-        star = star.join(group.toDF("cls", "gc"), "cls", "left").join(group.toDF("leader", "gl"), "leader", "left")
-        star = star.where(F.coalesce("gc", "cls") != F.coalesce("gl", "leader"))
-        star = star.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
-        new = materialize(confirmed(star if pairs is None else pairs.unionByName(star)), "links")
-        pairs = None
-        if not new.isEmpty():
-            links = materialize(links.unionByName(new), "links")
-            group = components(links)
-        tested = rest.join(chosen, [rest["bucket"] == chosen["bucket"], rest["cls"] == chosen["leader"]], "left_anti")
-        labelled = tested.join(group.toDF("cls", "of"), "cls", "left").withColumn("of", F.coalesce("of", "cls"))
-        # the leaders have been tested against all others: a bucket whose other members are in one component is done
-        mixed = labelled.groupBy("bucket").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
-        rest, leaders = materialize(labelled.join(mixed, "bucket", "left_semi").select("bucket", "cls", "c"), "rest"), leaders * 8
-        discard(spark, *spent)
-        spent[:] = [rest, chosen]
-        if rest.isEmpty():
-            break
+    def further(links: DataFrame, group: DataFrame) -> DataFrame:
+        """Components with the links between members that a leader does not join: see the module's text."""
+        of = F.coalesce("of", "b").alias("of")
+        split = stars.select("a", "b", "nb").join(group.toDF("b", "of"), "b", "left").select("a", "nb", of)
+        split = split.groupBy("a").agg(F.min("nb").alias("low"), F.min("of").alias("x"), F.max("of").alias("y"), F.count("*").alias("n")).where("x != y")
+        told = with_counted(stars, split.select("a", "low", "n"), ["a"]).drop("n").join(group.toDF("b", "of"), "b", "left").select("a", "b", "na", "nb", "both", "added", "low", of)
+        told = materialize(told.withColumn("low", F.greatest("low", F.expr(f"({percent} * nb + 99) div 100"))), "told")
+        if told.isEmpty():
+            return group
+        share = F.greatest(least_both("nb", "low") - F.col("both"), F.lit(1))
+        prefix = F.slice(F.sort_array("added"), 1, F.greatest(F.size("added") - share + 1, F.lit(0)).cast("int"))
+        keyed = told.select("a", F.col("b").alias("cls"), "of", F.col("both").alias("c"), F.explode(prefix).alias("t"))
+        keyed = materialize(keyed.withColumn("bucket", F.xxhash64("a", "t")).drop("a", "t"), "keyed")
+        mixed = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
+        rest = materialize(with_counted(keyed, mixed.select("bucket", "n"), ["bucket"]).withColumnRenamed("n", "g"), "rest")
+        inside = told.where(~near & (F.col("both") >= least_both("nb", "low"))).select("a", F.col("b").alias("b1"), F.col("nb").alias("n1"), F.col("both").alias("i1"), F.col("of").alias("of1"))
+        shorter = told.where("nb < na").select("a", F.col("b").alias("b2"), F.col("nb").alias("n2"), F.col("both").alias("i2"), F.col("of").alias("of2"))
+        apart = inside.join(shorter, "a").where((F.col("of1") != F.col("of2")) & (least_both("n1", "n2") <= F.least("i1", "i2")))
+        apart = apart.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b"))
+        pairs = all_pairs(rest.where(F.col("g") <= SPLIT_BUCKET)).unionByName(apart)
+        spent.extend([rest, stars, told, keyed])
+        rest, leaders = materialize(rest.where(F.col("g") > SPLIT_BUCKET).select("bucket", "cls", "c"), "rest"), 8
+        while True:
+            tests, left = pairs, not rest.isEmpty()
+            if left:
+                top = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("c"), F.xxhash64("cls"), "cls"))
+                chosen = materialize(rest.withColumn("rn", top).where(F.col("rn") <= leaders).select("bucket", F.col("cls").alias("leader")), "leaders")
+                of_bucket = chosen.groupBy("bucket").agg(F.collect_list("leader").alias("all")).join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+                star = with_counted(rest, of_bucket, ["bucket"]).select("bucket", "cls", F.explode("all").alias("leader")).where("cls != leader")
+                star = star.join(group.toDF("cls", "gc"), "cls", "left").join(group.toDF("leader", "gl"), "leader", "left")
+                star = star.where(F.coalesce("gc", "cls") != F.coalesce("gl", "leader"))
+                star = star.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
+                tests = star if pairs is None else pairs.unionByName(star)
+            if tests is None:
+                return group
+            new, pairs = materialize(confirmed(tests), "links"), None
+            if not new.isEmpty():
+                links = materialize(links.unionByName(new), "links")
+                group = components(links)
+            if not left:
+                return group
+            tested = rest.join(chosen, [rest["bucket"] == chosen["bucket"], rest["cls"] == chosen["leader"]], "left_anti")
+            labelled = tested.join(group.toDF("cls", "of"), "cls", "left").withColumn("of", F.coalesce("of", "cls"))
+            # the leaders have been tested against all others: a bucket whose other members are in one component is done
+            mixed = labelled.groupBy("bucket").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y")
+            rest, leaders = materialize(labelled.join(mixed, "bucket", "left_semi").select("bucket", "cls", "c"), "rest"), leaders * 8
+            discard(spark, *spent)
+            spent[:] = [rest, chosen]
+
+    if stars is not None:
+        group = further(links, group)
+    discard(spark, *spent)
     mine = classes.join(group.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = mine.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = mine.join(least, "comp").select("cls", "component_id", "comp")
