@@ -56,6 +56,7 @@ _TOKEN = re.compile(r"(?:[^\W_]|[@$!|+(*]|(?<=[^\W\d_])[-._/](?=[^\W\d_]))+")
 _SPACED = re.compile(r"(?<![^\W_])[a-z0134578@$9](?:[ .\-_*/,][a-z0134578@$9]){2,}(?![^\W_])")
 _TAIL = re.compile(r"(?:[!|+(*]+|([@$])\1{2,})$")
 _TRIPLE, _TWO = re.compile(r"([a-z])\1\1"), re.compile(r"([a-z])\1")
+_CUT = re.compile(r"(?<=[^\W\d_])[-._*/](?=[^\W\d_])")
 _ZERO = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 
 
@@ -65,6 +66,13 @@ def _base(c: str) -> str:
     return d if "a" <= d <= "z" and d != c else ""
 
 
+def _symbol(w: str, i: int) -> int:
+    if not 0 <= i < len(w):
+        return 0
+    k = ord(w[i]) - 96
+    return k if 1 <= k <= 26 else 0 if k < 32 else int(_SYMBOL[w[i].encode()[-1]])
+
+
 def folded(b: np.ndarray) -> np.ndarray:
     """UTF-8 bytes with the capital letters of ASCII and Latin-1 in lower case."""
     out = tv.LOWER[b]
@@ -189,8 +197,21 @@ class Restorer:
         other = [c for c in w if c > "\x7f"]
         if other and (any(c in LOOKS or "\uff21" <= c <= "\uff5a" for c in other) or (len(other) > 1 and not any(c in "aeiou" for c in w))):
             return True
-        b = np.frombuffer(w.encode(), np.uint8)
-        return bool(_unlikely(b, self.p).any())
+        return self.unlikely(w)
+
+    def unlikely(self, w: str) -> bool:
+        """``_unlikely`` of one word: only its doubled letters and inner signs are looked at."""
+        p = self.p
+        for m in _TWO.finditer(w):
+            i, k = m.start(), ord(m[1]) - 96
+            if p[_symbol(w, i - 2), _symbol(w, i - 1), k, k] < _RARE:
+                return True
+        for m in _CUT.finditer(w):
+            i = m.start()
+            x, y, z, u, v = (_symbol(w, i + k) for k in (-3, -2, -1, 1, 2))
+            if p[x, y, z, u] + p[y, z, u, v] > p[x, y, z, 0] + p[y, z, 0, u] + p[z, 0, u, v] + _GAIN:
+                return True
+        return False
 
     def text(self, text: str) -> str:
         """A folded text with its odd words restored."""
@@ -224,7 +245,7 @@ def _unlikely(b: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def suspicious(b: np.ndarray, offs: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Folded texts that hold something the channel could have made."""
+    """Bytes of folded texts at which something begins that the channel could have made."""
     n = len(b)
     pad = np.concatenate((np.zeros(4, np.uint8), b, np.zeros(4, np.uint8)))
     at = lambda k: pad[4 + k : 4 + k + n]
@@ -251,25 +272,38 @@ def suspicious(b: np.ndarray, offs: np.ndarray, p: np.ndarray) -> np.ndarray:
         c = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
         high, vowel = c(b >= 0xC0), c(_VOWEL[b])
         odd[s[(high[e] - high[s] > 1) & (vowel[e] == vowel[s])]] = True
-    c = np.concatenate(([0], np.cumsum(odd, dtype=np.int64)))
-    return np.flatnonzero(c[offs[1:]] > c[offs[:-1]])
+    return odd
+
+
+def stretches(t: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+    """The stretches of a text about the given bytes, from two words before one to six words behind it, whole words and none twice."""
+    ws = np.flatnonzero((t == 32) | (t == 10))
+    edge = np.concatenate((np.full(2, -1), ws, np.full(7, len(t))))
+    w = np.searchsorted(ws, at)
+    left, right = edge[w] + 1, np.maximum.accumulate(edge[w + 8])
+    first = np.flatnonzero(np.concatenate(([True], left[1:] > right[:-1])))
+    last = np.append(first[1:] - 1, len(at) - 1)
+    return list(zip(left[first].tolist(), right[last].tolist(), strict=True))
 
 
 def restored(b: np.ndarray, offs: np.ndarray, with_: Restorer) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' bytes in lower case, the suspicious ones restored."""
+    """The texts' folded bytes, what is suspicious in them restored."""
     low = folded(b)
-    odd = suspicious(low, offs, with_.p)
+    mask = suspicious(low, offs, with_.p)
+    c = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+    odd = np.flatnonzero(c[offs[1:]] > c[offs[:-1]])
     if not len(odd):
         return low, offs
     size = np.diff(offs)
     pieces, last = [], 0
     for d in odd.tolist():
-        pieces.append(low[offs[last] : offs[d]])
-        new = np.frombuffer(with_.text(low[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace")).encode(), np.uint8)
-        size[d] = len(new)
-        pieces.append(new)
-        last = d + 1
-    pieces.append(low[offs[last] :])
+        t = low[offs[d] : offs[d + 1]]
+        for x, y in stretches(t, np.flatnonzero(mask[offs[d] : offs[d + 1]])):
+            new = with_.text(t[x:y].tobytes().decode("utf-8", "replace")).encode()
+            pieces += [low[last : offs[d] + x], np.frombuffer(new, np.uint8)]
+            size[d] += len(new) - (y - x)
+            last = offs[d] + y
+    pieces.append(low[last:])
     return np.concatenate(pieces), np.concatenate(([0], np.cumsum(size)))
 
 
@@ -364,13 +398,16 @@ def score(docs: DataFrame, model: Model, key: Column | None = None) -> DataFrame
 
 
 def restore_texts(docs: DataFrame, chars: np.ndarray) -> DataFrame:
-    """doc_id and the restored text (lower case) of every row; null texts stay null."""
+    """doc_id and the restored text (folded) of every row; null texts stay null."""
 
     def go(batches):
         with_ = Restorer(chars)
         for batch in batches:
-            out = [None if t is None else with_.text(folded(np.frombuffer(t.encode(), np.uint8)).tobytes().decode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "restored"])
+            for at, b, offs in text_parts(batch.column(1)):
+                out, ends = restored(b, offs, with_)
+                raw, null = out.tobytes(), batch.column(1).slice(at, len(offs) - 1).is_null().to_pylist()
+                texts = [None if z else raw[x:y].decode() for x, y, z in zip(ends[:-1].tolist(), ends[1:].tolist(), null, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(texts, pa.string())], ["doc_id", "restored"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(rows, go, "doc_id long, restored string")
